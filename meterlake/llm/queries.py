@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, secrets
+from . import exact_dedup, packing, secrets, token_grammar
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,22 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+def tokenizer_file(name: str) -> Callable[[], str]:
+    """Finds a public tokenizer's file on the machine where it is asked for."""
+
+    def path() -> str:
+        import public_tokenizers
+
+        return str(public_tokenizers.path(name))
+
+    return path
+
+
+@_query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), size=2048, end_id=0)
+
+
 @_query
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
@@ -31,6 +47,11 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+@_query
+def op3_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_grammar.read(token_grammar.write(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2))
+
+
 @_query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))

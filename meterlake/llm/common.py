@@ -43,3 +43,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, copies: str, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with their group's row, when a few groups may have a large part of all rows.
+
+    ``groups`` has one row per key, with the number of its rows in ``copies``. The groups with more than a thousandth of
+    all rows are fewer than a thousand: they are broadcast. All others are joined by sort-merge, so that no task gets a
+    large group's rows.
+    """
+    total = groups.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    large = F.col(copies) > F.lit(max(16, total // share))
+    hot, rest = groups.filter(large), groups.filter(~large)
+    marked = F.broadcast(hot.select(key))
+    by_map = rows.join(F.broadcast(hot), key)
+    return rows.join(marked, key, "left_anti").join(rest.hint("merge"), key).unionByName(by_map)

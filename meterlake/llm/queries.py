@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, licenses, mixing, packing, quality_rules, secrets, token_grammar, toxicity
+from . import exact_dedup, html_text, licenses, mixing, near_dedup, packing, quality_rules, secrets, token_grammar, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), n=4, percent=80)

@@ -1,6 +1,6 @@
 """Token ids as binary shards, compressed by Re-Pair grammars with random access to every document.
 
-A shard holds consecutive documents in ascending order of their ids, about a million tokens. Its grammar comes from
+A shard holds consecutive documents in ascending order of their ids, about half a million tokens. Its grammar comes from
 repeated passes: a pass sorts (pair, place), takes the most frequent pairs, settles overlaps in favour of the more
 frequent pair and then the left one, and replaces what is left by a new nonterminal for each pair. Pairs with an end id
 are left alone, so that a document is a run of symbols of its own. A shard stores its rules, the length of each rule's
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-SHARD_TOKENS = 1 << 20
-PASSES = 5
+SHARD_TOKENS = 1 << 19
+PASSES = 3
 PAIRS_A_PASS = 4096
 LEAST_USES = 4
 PLACE_BITS, SYMBOL_BITS = 28, 18  # a pair and its place make 64 bits
@@ -45,41 +45,44 @@ def compress(ids: np.ndarray, end_id: int, passes: int = PASSES) -> tuple[np.nda
     """Symbols, rules (two columns) and the least nonterminal for the ids of a shard."""
     base = int(ids.max(initial=0)) + 1
     seq, rules, next_id = ids.astype(np.uint64), [], base
-    place_mask = np.uint64((1 << PLACE_BITS) - 1)
+    place, mask = np.arange(len(seq), dtype=np.uint64), np.uint64((1 << SYMBOL_BITS) - 1)
     for _ in range(passes):
         n, room = len(seq), (1 << SYMBOL_BITS) - next_id
         if n < 2 or n >= 1 << PLACE_BITS or room <= 0:
             break
-        code = (seq[:-1] << np.uint64(PLACE_BITS + SYMBOL_BITS)) | (seq[1:] << np.uint64(PLACE_BITS)) | np.arange(n - 1, dtype=np.uint64)
-        end = seq == end_id
-        code = np.sort(code[~(end[:-1] | end[1:])])
-        if not len(code):
-            break
+        code = seq[:-1] << np.uint64(PLACE_BITS + SYMBOL_BITS)
+        code |= seq[1:] << np.uint64(PLACE_BITS)
+        code |= place[: n - 1]
+        code.sort()
         pair = code >> np.uint64(PLACE_BITS)
         first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
         uses = np.diff(np.r_[first, len(pair)])
         often = np.flatnonzero(uses >= LEAST_USES)
+        sides = pair[first[often]]
+        often = often[(sides >> np.uint64(SYMBOL_BITS) != end_id) & (sides & mask != end_id)]
         often = often[np.argsort(-uses[often], kind="stable")][: min(PAIRS_A_PASS, room)]
         if not len(often):
             break
         # each place's rank of its pair, 0 for the most frequent; a place gives way to a better neighbour
-        rank = np.full(n + 1, len(often), np.int32)
-        counts = uses[often]
-        which = np.repeat(first[often] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-        rank[(code[which] & place_mask).astype(np.int64) + 1] = np.repeat(np.arange(len(often), dtype=np.int32), counts)
-        mine = rank[1:]
-        taken = (mine < len(often)) & (mine < rank[:-1]) & (mine <= np.r_[rank[2:], len(often)])
-        used = np.bincount(mine[taken], minlength=len(often))
+        none = len(often)
+        of_group = np.full(len(first), none, np.int16)
+        of_group[often] = np.arange(none, dtype=np.int16)
+        rank = np.full(n + 1, none, np.int16)
+        rank[1:][(code & np.uint64((1 << PLACE_BITS) - 1)).view(np.int64)] = np.repeat(of_group, uses)
+        mine, following = rank[1:n], np.r_[rank[2:n], np.int16(none)]
+        at = np.flatnonzero((mine < rank[: n - 1]) & (mine <= following))
+        best = mine[at]
+        used = np.bincount(best, minlength=none)
         good = np.flatnonzero(used >= LEAST_USES)
         if not len(good):
             break
-        symbol = np.zeros(len(often) + 1, np.uint64)
+        symbol = np.zeros(none, np.uint64)
         symbol[good] = next_id + np.arange(len(good))
-        taken[taken] = used[mine[taken]] >= LEAST_USES
-        at = np.flatnonzero(taken)
+        symbols = symbol[best]
+        at, symbols = at[symbols > 0], symbols[symbols > 0]
         left = first[often[good]]
-        rules.append(np.stack([pair[left] >> np.uint64(SYMBOL_BITS), pair[left] & np.uint64((1 << SYMBOL_BITS) - 1)], 1).astype(np.uint32))
-        seq[at] = symbol[mine[at]]
+        rules.append(np.stack([pair[left] >> np.uint64(SYMBOL_BITS), pair[left] & mask], 1).astype(np.uint32))
+        seq[at] = symbols
         keep = np.ones(n, bool)
         keep[at + 1] = False
         seq, next_id = seq[keep], next_id + len(good)
@@ -104,32 +107,27 @@ class Grammar:
     """The rules of a shard, written out: ids of every expansion one after the other."""
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray, base: int) -> None:
-        self.base, self.lengths = base, lengths
-        self.starts = np.r_[0, np.cumsum(lengths)]
+        self.base = base
         seq = np.arange(base, base + len(rules), dtype=np.int64)
         while len(rules) and (inner := seq >= base).any():
             out = np.repeat(seq, 1 + inner)
             at = np.flatnonzero(inner) + np.arange(inner.sum())
             out[at], out[at + 1] = rules[seq[inner] - base].T
             seq = out
-        self.flat = seq.astype(np.uint32)
+        # ids expand to themselves
+        self.flat = np.r_[np.arange(base), seq].astype(np.uint32)
+        self.lengths = np.r_[np.ones(base, np.int32), lengths.astype(np.int32)]
+        self.starts = np.r_[np.arange(base), base + np.cumsum(lengths) - lengths].astype(np.int64)
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(len(symbols), np.int64)
-        inner = symbols >= self.base
-        out[inner] = self.lengths[symbols[inner] - self.base]
-        return out
+        return self.lengths[symbols]
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        sizes = self.sizes(symbols)
-        inner = symbols >= self.base
-        origin = np.zeros(len(symbols), np.int64)
-        origin[inner] = self.starts[symbols[inner] - self.base]
-        begin = np.cumsum(sizes) - sizes
-        out = np.repeat(symbols, sizes)
-        deep = np.repeat(inner, sizes)
-        out[deep] = self.flat[(np.repeat(origin - begin, sizes) + np.arange(len(out)))[deep]]
-        return out
+        sizes = self.lengths[symbols]
+        begin = np.cumsum(sizes, dtype=np.int64)
+        places = np.repeat(self.starts[symbols] - begin + sizes, sizes)
+        places += np.arange(len(places))
+        return self.flat[places]
 
 
 def write_shard(doc_ids: list[int], texts: list[bytes], end_id: int, passes: int = PASSES) -> bytes:

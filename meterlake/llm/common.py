@@ -27,13 +27,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/meterlake/{uuid.uuid4().hex}/{name}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stage(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the written table.
 
-    This cuts lineage: a lost executor costs the running tasks, never the finished stages.
+    This cuts lineage: a lost executor costs the running tasks, never the finished stages. ``batch_rows`` bounds the rows
+    that Spark hands to Python at a time while this is written, for rows that may be large.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    if batch_rows:
+        spark.conf.set(BATCH, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -42,7 +42,7 @@ class Forest:
         return ((x, self.root(x)) for x in list(self.above))
 
 
-def components(edges: DataFrame, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
+def components(edges: DataFrame, edges_a_task: int = EDGES_A_TASK, staged: bool = False) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for every node of ``edges`` (a, b).
 
     Loops and repeated edges do no harm; rows with a null end are left out; no edges give no rows.
@@ -58,7 +58,8 @@ def components(edges: DataFrame, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
             part = found[at : at + 100_000]
             yield pa.record_batch([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["node", "root"])
 
-    edges = stage(edges.select("a", "b").dropna(), "edges")
+    edges = edges.select("a", "b").dropna()
+    edges = edges if staged else stage(edges, "edges")  # they are read twice
     tasks = max(1, -(-edges.count() // edges_a_task))
     stars = stage(edges.coalesce(tasks).mapInArrow(local, "node long, root long"), "stars")
     if tasks == 1:

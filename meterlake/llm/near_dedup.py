@@ -12,7 +12,7 @@
 4. *Large regions.* Where a region was too large (or ended with a task's range), its classes may have been too far apart
    in every order. If such a region has classes of several components now, those outside its largest component are
    compared by signature with all its classes, in blocks; pairs of different components with a similar signature are
-   confirmed too. So depth and neighbourhood bound the work, not the result.
+   confirmed there, on their full sets. So depth and neighbourhood bound the work, not the result.
 
 A pair with a similarity of 0.8 has four common values in a tree with a probability of 0.41, in none of 20 trees with
 2.6e-5; at 0.9, 2.3e-10.
@@ -40,8 +40,9 @@ from .common import join_groups, stage
 from .components import Forest, components
 from .words import chained, hashes, windows
 
-TREES, DEPTH, LEAST_DEPTH, RUN, BLOCK = 20, 8, 4, 12, 512
+TREES, DEPTH, LEAST_DEPTH, RUN, BLOCK = 20, 8, 4, 12, 128
 SIGNATURE = TREES * DEPTH
+BATCH_ROWS = 256  # texts or sets that a worker gets at a time
 ALIKE = 0.62  # signatures under it are five deviations away from a similarity of 0.8
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -198,44 +199,64 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter("ca <> cb")
 
 
-def _compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    """A block of stragglers and a block of a region to the pairs with similar signatures in different components."""
-    left, right = rows[rows["left"]], rows[~rows["left"]]
-    y = np.frombuffer(b"".join(right["signature"]), np.uint16).reshape(-1, SIGNATURE)
-    roots, reps, out = right["root"].to_numpy(), right["rep"].to_numpy(), []
-    for rep, root, s in zip(left["rep"], left["root"], left["signature"]):
-        same = (y == np.frombuffer(s, np.uint16)).mean(1)
-        for other in reps[(same >= ALIKE) & (roots != root)]:
-            out.append((min(rep, other), max(rep, other)))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _compare_blocks(percent: int):
+    """A block of stragglers and a block of their region to links between different components.
 
+    A pair is looked at in the first tree in which it has a common prefix only: it is settled there, by the order or here.
+    """
 
-def _far_pairs(again: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs with similar signatures across the components of regions that were too large to compare in order."""
-    rows = again.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rows = stage(rows.select("tree", "prefix", "rep", "root"), "regions")
-    parts = stage(rows.groupBy("tree", "prefix", "root").agg(F.count(F.lit(1)).alias("n")), "parts")
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right, tree = rows[rows["left"]], rows[~rows["left"]], int(rows["tree"].iloc[0])
+        sets = [np.frombuffer(w, np.uint64) for w in right["words"]]
+        values = np.stack([signature(w) for w in sets]) if sets else np.zeros((0, SIGNATURE), np.uint16)
+        roots, reps, forest, out = right["root"].to_numpy(), right["rep"].to_numpy(), Forest(), []
+        for rep, root, words in zip(left["rep"], left["root"], left["words"]):
+            mine = np.frombuffer(words, np.uint64)
+            equal = values == signature(mine)
+            prefix = equal.reshape(-1, TREES, DEPTH)[:, :, :LEAST_DEPTH].all(2)
+            some = np.flatnonzero((equal.mean(1) >= ALIKE) & (roots != root) & (prefix.argmax(1) == tree))
+            for i in some[np.argsort(-equal[some].mean(1), kind="stable")]:
+                if forest.root(root) != forest.root(int(roots[i])) and alike(mine, sets[i], percent):
+                    forest.union(root, int(roots[i]))
+                    out.append((min(rep, reps[i]), max(rep, reps[i])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
+def _with_roots(again: DataFrame, roots: DataFrame) -> DataFrame:
+    rows = again.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    return rows.select("tree", "prefix", "rep", F.coalesce("root", "rep").alias("root"))
+
+
+def _open_regions(rows: DataFrame) -> DataFrame:
+    """Regions with several components: the largest of these, and in how many blocks the region and the rest of it are."""
+    parts = rows.groupBy("tree", "prefix", "root").agg(F.count(F.lit(1)).alias("n"))
     regions = parts.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    regions = stage(regions.select("tree", "prefix", F.col("main.root").alias("main"), blocks(F.col("n")).alias("rights"), blocks(F.col("n") - F.col("main.n")).alias("lefts")), "open")
-    rows = rows.join(regions, ["tree", "prefix"]).join(classes.select("rep", "signature"), "rep")
+    return regions.select("tree", "prefix", F.col("main.root").alias("main"), blocks(F.col("n")).alias("rights"), blocks(F.col("n") - F.col("main.n")).alias("lefts"))
+
+
+def _far_links(rows: DataFrame, regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across the components of regions that were too large to compare in order."""
+    rows = rows.join(regions, ["tree", "prefix"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     some = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     right = rows.withColumn("j", some("rights")).withColumn("i", every("lefts")).withColumn("left", F.lit(False))
     left = rows.filter("root <> main").withColumn("i", some("lefts")).withColumn("j", every("rights")).withColumn("left", F.lit(True))
-    both = right.unionByName(left).select("tree", "prefix", "i", "j", "left", "rep", "root", "signature")
-    return both.groupBy("tree", "prefix", "i", "j").applyInPandas(_compare_blocks, "a long, b long").distinct()
+    both = right.unionByName(left).select("tree", "prefix", "i", "j", "left", "rep", "root").join(sets.select("rep", "words"), "rep")
+    return both.groupBy("tree", "prefix", "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long")
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (the least id of the group) and ``kept`` for every row of ``docs``."""
-    described = stage(describe(docs, n, doc_id, text), "described")
+    described = stage(describe(docs, n, doc_id, text), "described", BATCH_ROWS)
     members = described.filter("digest is not null")
     classes = members.groupBy("digest").agg(F.min(F.struct("doc_id", "signature")).alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = stage(classes.select("digest", "copies", F.col("first.doc_id").alias("rep"), F.col("first.signature").alias("signature")), "classes")
 
     forest = classes.select("rep", "signature").mapInArrow(_trees, "tree int, key binary, rep long")
-    forest = stage(forest, "trees").repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
+    forest = forest.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
     found = stage(forest.mapInArrow(_neighbours, "a long, b long, tree int, prefix binary"), "neighbours")
     pairs = stage(found.filter("b is not null").select("a", "b").distinct(), "pairs")
     again = found.filter("b is null").select("tree", "prefix", F.col("a").alias("rep"))
@@ -243,7 +264,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id
     again = stage(again.join(crowded.select("tree", "prefix"), ["tree", "prefix"], "left_semi"), "again")
 
     near = pairs.groupBy(F.col("b").alias("rep")).agg(F.collect_list("a").alias("near"))
-    needed = components(pairs).select(F.col("node").alias("rep"), F.col("root").alias("group"))
+    needed = components(pairs, staged=True).select(F.col("node").alias("rep"), F.col("root").alias("group"))
     needed = needed.unionByName(again.select("rep", F.col("rep").alias("group"))).groupBy("rep").agg(F.min("group").alias("group"))
     needed = stage(needed.join(near, "rep", "left"), "needed")
 
@@ -254,9 +275,9 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id
 
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("binary").alias("text"))
     sets = texts.join(needed.hint("merge"), "rep").select("group", "rep", "near", "text").mapInArrow(to_sets, "group long, rep long, near array<long>, words binary")
-    sets = stage(sets, "sets")
+    sets = stage(sets, "sets", BATCH_ROWS)
     tested = sets.repartitionByRange("group", "rep").sortWithinPartitions("group", "rep").mapInArrow(_confirm_near(percent), "a long, b long, linked boolean")
-    tested = stage(tested, "tested")
+    tested = stage(tested, "tested", BATCH_ROWS)
     links, split = tested.filter("linked").select("a", "b"), tested.filter("not linked").select("a", "b")
     roots = components(links)
 
@@ -264,15 +285,17 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id
     if not apart.isEmpty():
         pair = F.struct("a", "b")
         two = apart.groupBy("ca", "cb").agg(F.min(pair).alias("p"), F.max(pair).alias("q")).select(F.explode(F.array_distinct(F.array("p", "q"))).alias("p")).select("p.*")
-        links = stage(links.unionByName(_confirm_pairs(two, sets, percent)), "links")
+        links = stage(links.unionByName(_confirm_pairs(two, sets, percent)), "links", BATCH_ROWS)
         roots = components(links)
         rest = stage(_apart(split, roots), "apart")
         if not rest.isEmpty():
-            links = stage(links.unionByName(_confirm_pairs(rest, sets, percent)), "links")
+            links = stage(links.unionByName(_confirm_pairs(rest, sets, percent)), "links", BATCH_ROWS)
             roots = components(links)
-    far = stage(_far_pairs(again, roots, classes), "far")
-    if not far.isEmpty():
-        roots = components(links.unionByName(_confirm_pairs(far, sets, percent)))
+    rows = stage(_with_roots(again, roots), "regions")
+    regions = stage(_open_regions(rows), "open")
+    if not regions.isEmpty():
+        far = stage(_far_links(rows, regions, sets, percent), "far")
+        roots = components(links.unionByName(far))
 
     answers = stage(classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "copies", F.coalesce("root", "rep").alias("component_id")), "answers")
     grouped = join_groups(members.select("doc_id", "n_shingles", "digest"), answers, "digest", "copies").select("doc_id", "n_shingles", "component_id")

@@ -19,9 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stage
-
-HOT_SHARE = 1000
+from .common import join_groups, new_path, stage
 
 
 def text_digest(text: Column) -> Column:
@@ -37,7 +35,7 @@ class DigestIndex:
 
     COLUMNS = "text_sha256 STRING, keep_id BIGINT, copies BIGINT"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32) -> None:
         self.spark, self.path = spark, path or new_path(spark, "digests")
         self.name = f"digests_{uuid.uuid4().hex}"
         spark.sql(
@@ -78,16 +76,11 @@ def dedup(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str
     groups = stage(digests.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies")), "groups")
     fresh = stage(index.unseen(groups), "fresh")
     known = groups.join(fresh.select("text_sha256"), "text_sha256", "left_anti").select("text_sha256", F.col("copies").alias("now"))
-    known = known.join(index.table().hint("merge"), "text_sha256").select("text_sha256", "keep_id", (F.col("copies") + F.col("now")).alias("group_size"), F.lit(True).alias("old"))
-    answers = stage(fresh.select("text_sha256", "keep_id", F.col("copies").alias("group_size"), F.lit(False).alias("old")).unionByName(known), "answers")
+    known = known.join(index.table().hint("merge"), "text_sha256").select("text_sha256", "keep_id", (F.col("copies") + F.col("now")).alias("group_size"), F.lit(True).alias("old"), F.col("now").alias("copies"))
+    answers = stage(fresh.select("text_sha256", "keep_id", F.col("copies").alias("group_size"), F.lit(False).alias("old"), "copies").unionByName(known), "answers")
     index.append(fresh)
 
-    hot_from = max(2, groups.agg(F.sum("copies")).first()[0] or 0) / HOT_SHARE
-    hot = stage(groups.filter(F.col("copies") > F.lit(max(hot_from, 16.0))).select("text_sha256"), "hot")
-    hot_answers = answers.join(F.broadcast(hot), "text_sha256", "left_semi")
-    by_map = digests.join(F.broadcast(hot_answers), "text_sha256")
-    by_merge = digests.join(F.broadcast(hot), "text_sha256", "left_anti").join(answers.hint("merge"), "text_sha256")
-    both = by_merge.unionByName(by_map)
+    both = join_groups(digests, answers, "text_sha256", "copies")
     kept = ~F.col("old") & (F.col("doc_id") == F.col("keep_id"))
     return both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 

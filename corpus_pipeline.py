@@ -17,7 +17,8 @@ from meterlake.llm.queries import tokenizer_file
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the cut-off, by a model of the labels that aren't held out."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
-    return toxicity.score(docs, model).filter(F.col("score") < toxicity.CUTOFF).select(*docs.columns)
+    name = "score" + "_" * max(map(len, docs.columns), default=0)  # longer than any column's
+    return toxicity.score(docs, model, name=name).filter(F.col(name) < toxicity.CUTOFF).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

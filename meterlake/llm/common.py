@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,8 +51,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def with_ids(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids`` (one column), null among them, whatever the names of their columns."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"))
+    ids = ids.toDF("kept").distinct()
+    return rows.join(ids, F.col("id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, copies: str, share: int = 1000) -> DataFrame:

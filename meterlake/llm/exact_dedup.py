@@ -8,7 +8,8 @@ lies, and the rest is appended.
 A digest whose copies make up a thousandth of the batch or more is answered from a broadcast table, which can't have
 more than a thousand rows; all the others are answered by a sort-merge join. So no task gets the copies of one text.
 
-Defined results: null counts as the empty text; repeated rows are copies as any others; an empty batch gives no rows;
+Defined results: null counts as the empty text; repeated rows are copies as any others, and all rows with the id that stays
+stay; a null id is less than any other; an empty batch gives no rows;
 further columns of the input are ignored (``dedup``) or passed through (``keep_rows``).
 """
 
@@ -19,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_groups, new_path, stage
+from .common import join_groups, new_path, stage, with_ids
 
 
 def text_digest(text: Column) -> Column:
@@ -81,11 +82,10 @@ def dedup(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str
     index.append(fresh)
 
     both = join_groups(digests, answers, "text_sha256", "copies")
-    kept = ~F.col("old") & (F.col("doc_id") == F.col("keep_id"))
+    kept = ~F.col("old") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def keep_rows(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rows that repeat an id and its text stay once or more."""
-    kept = dedup(docs, index, doc_id, text).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs[doc_id] == F.col("_keep"), "left_semi")
+    return with_ids(docs, dedup(docs, index, doc_id, text).filter("kept").select("doc_id"), doc_id)

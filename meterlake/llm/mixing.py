@@ -146,6 +146,6 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
 def mixed_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
     rows = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(text).alias("size")), "sizes")
-    sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", size_of(text))
-    out = apply(sized, make_plan(rows)).filter("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "copies")])
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", F.col("source").cast("string").alias("source"), size_of(text).alias("size"))
+    out = apply(whole, make_plan(rows)).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

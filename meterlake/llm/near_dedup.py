@@ -22,7 +22,7 @@ counts only; every step is written to the shared folder.
 
 Defined results: words are split at the six ASCII characters of white space after lowering A-Z; a text with fewer words
 than a shingle has the whole sequence as its only shingle; a null or empty text, or one without words, has no shingles and
-is linked with nothing; repeated rows are members of one class; an empty table gives no rows; further columns are ignored.
+is linked with nothing, nor is a row without an id, which stays; repeated rows are members of one class; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, stage
+from .common import join_groups, stage, with_ids
 from .components import Forest, components
 from .words import chained, hashes, windows
 
@@ -251,7 +251,8 @@ def _far_links(rows: DataFrame, regions: DataFrame, sets: DataFrame, percent: in
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (the least id of the group) and ``kept`` for every row of ``docs``."""
     described = stage(describe(docs, n, doc_id, text), "described", BATCH_ROWS)
-    members = described.filter("digest is not null")
+    linkable = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+    members = described.filter(linkable)
     classes = members.groupBy("digest").agg(F.min(F.struct("doc_id", "signature")).alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = stage(classes.select("digest", "copies", F.col("first.doc_id").alias("rep"), F.col("first.signature").alias("signature")), "classes")
 
@@ -299,11 +300,10 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id
 
     answers = stage(classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "copies", F.coalesce("root", "rep").alias("component_id")), "answers")
     grouped = join_groups(members.select("doc_id", "n_shingles", "digest"), answers, "digest", "copies").select("doc_id", "n_shingles", "component_id")
-    lone = described.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(lone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    lone = described.filter(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return grouped.unionByName(lone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_rows(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one id of each group."""
-    kept = groups(docs, n, percent, doc_id, text).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs[doc_id] == F.col("_keep"), "left_semi")
+    return with_ids(docs, groups(docs, n, percent, doc_id, text).filter("kept").select("doc_id"), doc_id)

@@ -103,26 +103,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         m = fit_rows(sorted(rows, key=lambda r: (len(r[0]), r[0].tobytes(), r[1])))
         yield pa.record_batch([[m.keys.tobytes()], [m.weights.tobytes()], [m.bias]], ["keys", "weights", "bias"])
 
-    texts = docs.join(F.broadcast(some), docs[doc_id] == F.col("_id")).select(F.col(text).cast("binary"), "_y")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text"))
+    texts = rows.join(F.broadcast(some), "_id").select("_text", "_y")
     found = texts.mapInArrow(features, "y int, x binary").coalesce(1).mapInArrow(fitted, "keys binary, weights binary, bias double").first()
     if found is None:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0)
     return Model(np.frombuffer(found.keys, np.uint64), np.frombuffer(found.weights), found.bias)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a ``score`` of 0 to 1."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a score of 0 to 1 under ``name``, in place of a column of that name."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
             found = [shared.value.score(t.as_py() or b"") for t in texts]
-            yield batch.append_column("score", pa.array(found, pa.float64()))
+            yield batch.append_column(name, pa.array(found, pa.float64()))
 
-    return docs.mapInArrow(scored, docs.drop("score").withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(scored, docs.withColumn(name, F.lit(0.0)).schema)
 
 
 def held_out(doc_id: str = "doc_id"):
     """Rows whose label the model never sees."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -71,3 +71,14 @@ def responses(bills: DataFrame, with_text: bool = False) -> DataFrame:
 
 def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def exported(bills: DataFrame) -> DataFrame:
+    """What a client exports as JSON: one value per bill, nulls included."""
+    d = F.col("validation_details")
+    rows = bills.select(
+        "id", F.col("original_filename").alias("file"), "consumer_name", "account_number", "billing_period", "billing_period_start", "billing_period_end", "due_date", "previous_reading", "current_reading",
+        d["multiplying_factor"].alias("multiplying_factor"), "units_consumed", "net_amount_due", "validation_status", d["meter_reading_check"].alias("meter_reading_check"),
+        F.concat(F.coalesce(d["errors"], F.array()), F.coalesce(d["warnings"], F.array())).cast("array<string>").alias("warnings"), F.coalesce("field_sources", F.create_map().cast("map<string,string>")).alias("field_sources"),
+    )
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))

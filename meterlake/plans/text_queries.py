@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import core, dates, ids, numbers, text
+from ..functions import core, dates, display, ids, numbers, text
 from ..operators import align, extract, layout, providers, rollup, validate
 from ..sources import synth
 from ..sources.bills import FROM_ORDERS_SQL, from_orders
@@ -249,3 +249,17 @@ def angled_words(spark, sf_dir):
     angled = F.col("l_linenumber") % 3 == 0
     words = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.when(angled, 0.7).otherwise(1.0).alias("dx"), F.when(angled, 0.7).otherwise(0.0).alias("dy"))
     return rollup.upright(words).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT o_orderkey AS k, '₹' || CASE WHEN v < 100000 THEN format('{:,.2f}', o_totalprice * 1.0) ELSE CAST(v // 100000 AS VARCHAR) || ',' || lpad(CAST((v // 1000) % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST(v % 1000 AS VARCHAR), 3, '0') || '.' || lpad(CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') END AS amount,
+      strftime(o_orderdate, '%d %b %Y') AS day FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)"""
+)
+def indian_amounts(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), display.rupees(F.col("o_totalprice")).alias("amount"), display.short_date(F.col("o_orderdate")).alias("day"))
+
+
+@query(f"{ROWS} SELECT id, CASE WHEN id % 2 = 0 THEN strftime(billing_period_start, '%b %Y') ELSE billing_period END AS short, CASE WHEN id % 2 = 0 THEN strftime(billing_period_start, '%d %b') || ' – ' || strftime(last_day(billing_period_start), '%d %b %Y') ELSE billing_period END AS long FROM bills")
+def display_periods(spark, sf_dir):
+    p = F.col("billing_period")
+    return from_orders(spark, sf_dir).select("id", display.period(p, short=True).alias("short"), display.period(p).alias("long"))

@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.functions import core, dates, ids, numbers, text
+from meterlake.functions import core, dates, display, ids, numbers, text
 
 
 def table(spark, f, cases):
@@ -68,3 +68,24 @@ def test_plain_numbers(spark):
 def test_values_that_were_cut_are_never_guessed(spark, kind):
     f = {"number": lambda v: numbers.parse_number(v)["value"], "amount": numbers.parse_amount, "date": dates.parse_date, "account": ids.parse_account_number, "name": ids.parse_name}[kind]
     table(spark, f, [("", None), ("   ", None), ("-", None), ("?", None), ("::", None)])
+
+
+def test_display(spark):
+    grouped = lambda v: display.indian_grouping(v.cast("decimal(20,6)"))
+    table(spark, grouped, [("1234567.5", "12,34,567.5"), ("999", "999"), ("1000", "1,000"), ("-100000.125", "-1,00,000.125"), (None, None)])
+    table(spark, lambda v: display.rupees(v.cast("decimal(20,6)")), [("1234567.5", "₹12,34,567.50"), ("7", "₹7.00")])
+    table(spark, display.period, [("2023-11-01 to 2023-11-30", "01 Nov – 30 Nov 2023"), ("2022-12-15 to 2023-01-14", "15 Dec 2022 – 14 Jan 2023"), ("May 2023", "May 2023"), (None, None)])
+    table(spark, lambda v: display.file_size(v.cast("bigint")), [("10", "1 KB"), ("2048", "2 KB"), ("3145728", "3.0 MB")])
+    table(spark, display.source, [("key_value:Due Date", "Label “Due Date”"), ("table:MF", "Table “MF”"), ("derived:x", "Calculated"), ("inferred:y", "Inferred"), ("apdcl:MF column", "Apdcl · MF column")])
+    now = F.lit("2024-01-10 12:00:00").cast("timestamp")
+    table(spark, lambda v: display.ago(v.cast("timestamp"), now), [("2024-01-10 11:59:30", "just now"), ("2024-01-10 11:30:00", "30 min ago"), ("2024-01-10 09:00:00", "3 h ago"), ("2024-01-08 12:00:00", "2 d ago"), ("2023-12-01 00:00:00", "01 Dec 2023")])
+
+
+def test_readers_are_plug_ins(spark):
+    from meterlake.sources import pages
+
+    files = spark.createDataFrame([(1, "pdf", b"x")], "doc_id long, file_type string, content binary")
+    with pytest.raises(NotImplementedError):
+        pages.words(files, "pdf")
+    pages.register("test", lambda batches: (b.assign(page=1, text="w", x0=0.0, y0=0.0, x1=1.0, y1=1.0, conf=-1.0)[["doc_id", "page", "text", "x0", "y0", "x1", "y1", "conf"]] for b in batches))
+    assert pages.words(files, "test").first().text == "w"

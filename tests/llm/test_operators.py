@@ -105,27 +105,22 @@ def test_packing(spark, docs):
 
 def test_open_sequences_against_a_list():
     rnd, size, bound = random.Random(5), 64, 4
-    ours, plain, made = packing.OpenSequences(size, bound), {}, 0
+    ours, free = packing.OpenSequences(size, bound), {}
     for _ in range(3000):
         n = rnd.randrange(1, size + 1)
+        before = {k: free[k] for k in itertools.chain(*ours.stacks)}  # the open ones
         number, offset = ours.place(n)
-        fits = [f for f in plain.values() if f >= n]
+        after = set(itertools.chain(*ours.stacks))
+        fits = [f for f in before.values() if f >= n]
         if fits:
-            assert plain[number] == min(fits) and offset == size - min(fits)
+            assert before[number] == min(fits) and offset == size - min(fits)
         else:
-            if len(plain) >= bound and n < size:
-                least = min(plain.values())
-                plain.pop(next(k for k in reversed(list(plain)) if plain[k] == least)) if list(plain.values()).count(least) == 1 else None
-                if len(plain) >= bound:
-                    gone = [k for k in plain if plain[k] == least and k not in set(itertools.chain(*ours.stacks))]
-                    plain.pop(gone[0])
-            assert number == made and offset == 0
-            made += 1
-            plain[number] = size
-        plain[number] -= n
-        if not plain[number]:
-            del plain[number]
-        assert len(plain) <= bound and sorted(itertools.chain(*ours.stacks)) == sorted(plain)
+            assert number not in free and offset == 0
+            closed = before.keys() - after
+            assert all(before[k] == min(before.values()) for k in closed) and len(closed) == (len(before) == bound and n < size)
+        free[number] = size - offset - n
+        assert after == {k for k in {*before, number} if free[k] and (k in after)} and len(after) <= bound
+        assert sorted(free[k] for k in after) == [space for space, stack in enumerate(ours.stacks) for _ in stack]
 
 
 def test_packing_odd_rows(odd, nothing):

@@ -116,7 +116,10 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range of the forest's orders to candidate pairs, and to the rows of regions that need another look (b is null)."""
+    """A range of the forest's orders to candidate pairs, and to the rows of regions that need another look (b is null).
+
+    A region's name is its tree, as a byte, and its common prefix.
+    """
     found = list(batches)
     tree = np.concatenate([b.column(0).to_numpy() for b in found]) if found else np.zeros(0, np.int32)
     if not len(tree):
@@ -141,10 +144,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a = np.concatenate([reps[i] for i, _ in pairs])
     b = np.concatenate([reps[i + k] for i, k in pairs])
     a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0).T
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("prefix", pa.binary())])
-    yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], schema=schema)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("region", pa.binary())])
+    yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], schema=schema)
     at = np.flatnonzero(again)
-    yield pa.record_batch([pa.array(reps[at]), pa.nulls(len(at), pa.int64()), pa.array(tree[at]), pa.array([raw[i][: 2 * LEAST_DEPTH] for i in at], pa.binary())], schema=schema)
+    yield pa.record_batch([pa.array(reps[at]), pa.nulls(len(at), pa.int64()), pa.array([bytes([tree[i]]) + raw[i][: 2 * LEAST_DEPTH] for i in at], pa.binary())], schema=schema)
 
 
 def _confirm_near(percent: int):
@@ -206,7 +209,7 @@ def _compare_blocks(percent: int):
     """
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right, tree = rows[rows["left"]], rows[~rows["left"]], int(rows["tree"].iloc[0])
+        left, right, tree = rows[rows["left"]], rows[~rows["left"]], rows["region"].iloc[0][0]
         sets = [np.frombuffer(w, np.uint64) for w in right["words"]]
         values = np.stack([signature(w) for w in sets]) if sets else np.zeros((0, SIGNATURE), np.uint16)
         roots, reps, forest, out = right["root"].to_numpy(), right["rep"].to_numpy(), Forest(), []
@@ -226,26 +229,26 @@ def _compare_blocks(percent: int):
 
 def _with_roots(again: DataFrame, roots: DataFrame) -> DataFrame:
     rows = again.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    return rows.select("tree", "prefix", "rep", F.coalesce("root", "rep").alias("root"))
+    return rows.select("region", "rep", F.coalesce("root", "rep").alias("root"))
 
 
 def _open_regions(rows: DataFrame) -> DataFrame:
     """Regions with several components: the largest of these, and in how many blocks the region and the rest of it are."""
-    parts = rows.groupBy("tree", "prefix", "root").agg(F.count(F.lit(1)).alias("n"))
-    regions = parts.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    parts = rows.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
+    regions = parts.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    return regions.select("tree", "prefix", F.col("main.root").alias("main"), blocks(F.col("n")).alias("rights"), blocks(F.col("n") - F.col("main.n")).alias("lefts"))
+    return regions.select("region", "n", F.col("main.root").alias("main"), blocks(F.col("n")).alias("rights"), blocks(F.col("n") - F.col("main.n")).alias("lefts"))
 
 
 def _far_links(rows: DataFrame, regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across the components of regions that were too large to compare in order."""
-    rows = rows.join(regions, ["tree", "prefix"])
+    rows = join_groups(rows, regions, "region", "n")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     some = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     right = rows.withColumn("j", some("rights")).withColumn("i", every("lefts")).withColumn("left", F.lit(False))
     left = rows.filter("root <> main").withColumn("i", some("lefts")).withColumn("j", every("rights")).withColumn("left", F.lit(True))
-    both = right.unionByName(left).select("tree", "prefix", "i", "j", "left", "rep", "root").join(sets.select("rep", "words"), "rep")
-    return both.groupBy("tree", "prefix", "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long")
+    both = right.unionByName(left).select("region", "i", "j", "left", "rep", "root").join(sets.select("rep", "words"), "rep")
+    return both.groupBy("region", "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long")
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -258,11 +261,11 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id
 
     forest = classes.select("rep", "signature").mapInArrow(_trees, "tree int, key binary, rep long")
     forest = forest.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    found = stage(forest.mapInArrow(_neighbours, "a long, b long, tree int, prefix binary"), "neighbours")
+    found = stage(forest.mapInArrow(_neighbours, "a long, b long, region binary"), "neighbours")
     pairs = stage(found.filter("b is not null").select("a", "b").distinct(), "pairs")
-    again = found.filter("b is null").select("tree", "prefix", F.col("a").alias("rep"))
-    crowded = again.groupBy("tree", "prefix").count().filter("count > 1")
-    again = stage(again.join(crowded.select("tree", "prefix"), ["tree", "prefix"], "left_semi"), "again")
+    again = found.filter("b is null").select("region", F.col("a").alias("rep"))
+    crowded = stage(again.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")
+    again = stage(join_groups(again, crowded, "region", "n").select("region", "rep"), "again")
 
     near = pairs.groupBy(F.col("b").alias("rep")).agg(F.collect_list("a").alias("near"))
     needed = components(pairs, staged=True).select(F.col("node").alias("rep"), F.col("root").alias("group"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import first_by_hash, stage
 from .words import hashes, windows
 
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
@@ -145,7 +145,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id:
     rows = rows.withColumn("base_failed", (n < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * n))
     marked = labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("_good"))
     labelled = stage(rows.filter(~F.col("base_failed")).join(marked, "doc_id"), "labelled")
-    good = labelled.filter("_good = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(*RATIOS).collect()  # at most SAMPLE rows
+    good = first_by_hash(labelled.filter("_good = 1"), "doc_id", SAMPLE).select(*RATIOS).collect()  # at most SAMPLE rows
     forest = Forest(np.array(good, float)) if len(good) > 1 else None
     bins = _scored(labelled, forest).groupBy("_good", F.floor(F.col("anomaly") * BINS).alias("bin")).count().collect()  # at most two for each bin
     of = {y: np.zeros(BINS + 2) for y in (0, 1)}

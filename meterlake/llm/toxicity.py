@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import first_by_hash
 from .words import alphanumeric_words, chained, hashes
 
 SAMPLE = 8000
@@ -91,7 +92,7 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], passes: int = PASSES, seed: int
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fit on at most ``sample`` rows of ``labels`` (id, 0 or 1)."""
     some = labels.filter(F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
-    some = some.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
+    some = first_by_hash(some, "_id", sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,9 +1,9 @@
 """Token ids as binary shards, compressed by Re-Pair grammars with random access to every document.
 
-A shard holds consecutive documents in ascending order of their ids, about half a million tokens. Its grammar comes from
-repeated passes: a pass sorts (pair, place), takes the most frequent pairs, settles overlaps in favour of the more
-frequent pair and then the left one, and replaces what is left by a new nonterminal for each pair. Pairs with an end id
-are left alone, so that a document is a run of symbols of its own. A shard stores its rules, the length of each rule's
+A shard holds consecutive documents in ascending order of their ids, about a million tokens. Its grammar comes from
+repeated passes: a pass sorts (pair, place), takes the most frequent pairs, settles overlaps in favour of the more frequent
+pair, and replaces what is left by a new nonterminal for each pair, until no pair has LEAST_USES uses side by side. Pairs
+with an end id are left alone, so that a document is a run of symbols of its own. A shard stores its rules, the length of each rule's
 expansion, and each document's first symbol and first token: one document, or a range of tokens in it, is decoded
 without the rest.
 
@@ -32,75 +32,99 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-SHARD_TOKENS = 1 << 19
-PASSES = 3
-PAIRS_A_PASS = 4096
-LEAST_USES = 4
-PLACE_BITS, SYMBOL_BITS = 28, 18  # a pair and its place make 64 bits
+SHARD_TOKENS = 1 << 20
+LEAST_USES, TIER = 4, 4
+MIX = np.uint64(0x9E3779B97F4A7C15)
 SHARD = "partition int, shard int, start long, n_tokens long, n_docs long, payload binary"
 MAGIC = b"RPG1"
 
 
-def compress(ids: np.ndarray, end_id: int, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symbols, rules (two columns) and the least nonterminal for the ids of a shard."""
+def compress(ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Symbols, rules (two columns) and the least nonterminal for the ids of a shard.
+
+    A pass takes the pairs with a TIER-th of the uses of the most frequent one or more. A pair that wasn't frequent can't
+    become so, as places only vanish: a pass looks at the pairs that were frequent before and at those with a new symbol.
+    The most frequent pair gives way to none, so every pass replaces it everywhere.
+    """
     base = int(ids.max(initial=0)) + 1
     seq, rules, next_id = ids.astype(np.uint64), [], base
-    place, mask = np.arange(len(seq), dtype=np.uint64), np.uint64((1 << SYMBOL_BITS) - 1)
-    for _ in range(passes):
-        n, room = len(seq), (1 << SYMBOL_BITS) - next_id
-        if n < 2 or n >= 1 << PLACE_BITS or room <= 0:
-            break
-        code = seq[:-1] << np.uint64(PLACE_BITS + SYMBOL_BITS)
-        code |= seq[1:] << np.uint64(PLACE_BITS)
-        code |= place[: n - 1]
-        code.sort()
-        pair = code >> np.uint64(PLACE_BITS)
-        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        uses = np.diff(np.r_[first, len(pair)])
-        often = np.flatnonzero(uses >= LEAST_USES)
-        sides = pair[first[often]]
-        often = often[(sides >> np.uint64(SYMBOL_BITS) != end_id) & (sides & mask != end_id)]
-        often = often[np.argsort(-uses[often], kind="stable")][: min(PAIRS_A_PASS, room)]
+    live = np.ones(max(len(seq) - 1, 0), bool)
+    while (room := (1 << 32) - next_id) > 0:
+        n, end = len(seq), seq == end_id
+        live &= ~(end[:-1] | end[1:])
+        # in a run of one symbol every second place overlaps the one before
+        same = np.flatnonzero((seq[:-1] == seq[1:]) & live)
+        begins = np.diff(same, prepend=-2) != 1
+        second = same[(np.arange(len(same)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]) % 2 == 1]
+        live[second] = False
+        pair, place = _sorted_pairs(seq, np.flatnonzero(live), next_id)
+        first = np.flatnonzero(np.diff(pair, prepend=~pair[:1]))
+        uses = np.diff(first, append=len(pair))
+        often = np.flatnonzero(uses >= max(LEAST_USES, uses.max(initial=0) / TIER))
         if not len(often):
             break
+        later = place[np.repeat(uses >= LEAST_USES, uses)]
+        # ties by a hash: in the order of symbols, ascending ids would give way to each other one by one
+        tie = (pair[first[often]] * MIX) >> np.uint64(32)
+        often = often[np.argsort(((uses.max() - uses[often]).astype(np.uint64) << np.uint64(32)) | tie, kind="stable")][:room]
         # each place's rank of its pair, 0 for the most frequent; a place gives way to a better neighbour
         none = len(often)
-        of_group = np.full(len(first), none, np.int16)
-        of_group[often] = np.arange(none, dtype=np.int16)
-        rank = np.full(n + 1, none, np.int16)
-        rank[1:][(code & np.uint64((1 << PLACE_BITS) - 1)).view(np.int64)] = np.repeat(of_group, uses)
-        mine, following = rank[1:n], np.r_[rank[2:n], np.int16(none)]
-        at = np.flatnonzero((mine < rank[: n - 1]) & (mine <= following))
-        best = mine[at]
-        used = np.bincount(best, minlength=none)
+        of_group = np.full(len(first), none, np.int32)
+        of_group[often] = np.arange(none, dtype=np.int32)
+        mine = np.repeat(of_group, uses)
+        place, mine = place[mine < none], mine[mine < none]
+        rank = np.full(n + 1, none, np.int32)
+        rank[place + 1] = mine
+        best = (mine < rank[place]) & (mine < rank[place + 2])
+        used = np.bincount(mine[best], minlength=none)
         good = np.flatnonzero(used >= LEAST_USES)
-        if not len(good):
-            break
         symbol = np.zeros(none, np.uint64)
         symbol[good] = next_id + np.arange(len(good))
-        symbols = symbol[best]
+        symbols, at = symbol[mine[best]], place[best]
         at, symbols = at[symbols > 0], symbols[symbols > 0]
-        left = first[often[good]]
-        rules.append(np.stack([pair[left] >> np.uint64(SYMBOL_BITS), pair[left] & mask], 1).astype(np.uint32))
+        left = np.zeros(none, np.int64)
+        left[mine] = place
+        left = left[good]
+        rules.append(np.stack([seq[left], seq[left + 1]], 1).astype(np.uint32))
+        live = np.zeros(n, bool)
+        live[later] = True
+        live[second] = live[second - 1]
+        live[at] = live[at - 1] = True
         seq[at] = symbols
         keep = np.ones(n, bool)
         keep[at + 1] = False
-        seq, next_id = seq[keep], next_id + len(good)
-        if len(at) < n // 100:
-            break
+        seq, live, next_id = seq[keep], live[keep][:-1], next_id + len(good)
     return seq.astype(np.uint32), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), base
 
 
+def _sorted_pairs(seq: np.ndarray, at: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs at the given places, sorted by pair and place, and their places."""
+    bits, place_bits = symbols.bit_length(), len(seq).bit_length()
+    if 2 * bits + place_bits > 64:
+        pair = seq[at] << np.uint64(32) | seq[at + 1]
+        order = np.argsort(pair, kind="stable")
+        return pair[order], at[order]
+    code = (seq[at] << np.uint64(bits) | seq[at + 1]) << np.uint64(place_bits) | at.astype(np.uint64)
+    code.sort()
+    return code >> np.uint64(place_bits), (code & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+
+
+def levels(rules: np.ndarray, base: int) -> Iterator[slice]:
+    """Stretches of rules whose sides are ids or rules of earlier stretches."""
+    needs = np.maximum.accumulate(rules.astype(np.int64).max(1, initial=0)) - base
+    start = 0
+    while start < len(rules):
+        stop = int(np.searchsorted(needs, start))
+        yield slice(start, stop)
+        start = stop
+
+
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    """Ids in each rule's expansion. A rule's sides are ids or earlier rules, so rounds by depth settle all."""
-    lengths, known = np.ones(len(rules), np.int64), rules < base
-    side = np.where(known, 0, rules.astype(np.int64) - base)
-    while len(rules):
-        new = np.where(known, 1, lengths[side]).sum(1)
-        if (new == lengths).all():
-            break
-        lengths = new
-    return lengths
+    """Ids in each rule's expansion."""
+    lengths = np.ones(base + len(rules), np.int64)
+    for level in levels(rules, base):
+        lengths[base:][level] = lengths[rules[level]].sum(1)
+    return lengths[base:]
 
 
 class Grammar:
@@ -108,16 +132,16 @@ class Grammar:
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray, base: int) -> None:
         self.base = base
-        seq = np.arange(base, base + len(rules), dtype=np.int64)
-        while len(rules) and (inner := seq >= base).any():
-            out = np.repeat(seq, 1 + inner)
-            at = np.flatnonzero(inner) + np.arange(inner.sum())
-            out[at], out[at + 1] = rules[seq[inner] - base].T
-            seq = out
         # ids expand to themselves
-        self.flat = np.r_[np.arange(base), seq].astype(np.uint32)
         self.lengths = np.r_[np.ones(base, np.int32), lengths.astype(np.int32)]
         self.starts = np.r_[np.arange(base), base + np.cumsum(lengths) - lengths].astype(np.int64)
+        self.flat = np.empty(base + int(lengths.sum()), np.uint32)
+        self.flat[:base] = np.arange(base)
+        at = base
+        for level in levels(rules, base):
+            out = self.expand(rules[level].ravel())
+            self.flat[at : at + len(out)] = out
+            at += len(out)
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         return self.lengths[symbols]
@@ -130,11 +154,11 @@ class Grammar:
         return self.flat[places]
 
 
-def write_shard(doc_ids: list[int], texts: list[bytes], end_id: int, passes: int = PASSES) -> bytes:
+def write_shard(doc_ids: list[int], texts: list[bytes], end_id: int) -> bytes:
     """A shard's bytes. ``texts``: the ids of each document, as little-endian unsigned 32-bit integers with the end id."""
     ids = np.frombuffer(b"".join(texts), "<u4")
     first_token = np.r_[0, np.cumsum([len(t) // 4 for t in texts])].astype(np.int64)
-    symbols, rules, base = compress(ids, end_id, passes)
+    symbols, rules, base = compress(ids, end_id)
     lengths = expansion_lengths(rules, base)
     sizes = np.ones(len(symbols), np.int64)
     inner = symbols >= base

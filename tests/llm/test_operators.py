@@ -205,6 +205,41 @@ def test_repeats_make_rules():
     assert len(shard.symbols) < 1100 and shard.all_ids().tolist() == ids.tolist()
 
 
+def uses_side_by_side(symbols, end_id):
+    uses, free = Counter(), {}
+    for i, pair in enumerate(itertools.pairwise(symbols)):
+        if end_id not in pair and free.get(pair, 0) <= i:
+            uses[pair] += 1
+            free[pair] = i + 2
+    return uses
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_no_frequent_pair_is_left(seed):
+    rnd = random.Random(seed)
+    passage = [rnd.randrange(3, 40_000) for _ in range(500)]
+    lots = [[int(rnd.paretovariate(0.7)) % 9000 + 3 for _ in range(rnd.randrange(3000))], [7] * rnd.randrange(9000), passage, passage[100:], sorted(passage)]
+    ids = np.asarray(list(itertools.chain(*([*rnd.choice(lots), 2] for _ in range(40)))), np.uint32)
+    for shift in (0, 1 << 31):  # above: pair and place don't fit in 64 bits
+        end = 2 + shift
+        symbols, rules, base = token_grammar.compress(ids + np.uint32(shift), end)
+        assert max(uses_side_by_side(symbols.tolist(), end).values(), default=0) < token_grammar.LEAST_USES
+        full = {}
+        for i, sides in enumerate(rules.tolist()):
+            full[base + i] = [x for s in sides for x in full.get(s, [s])]
+        assert [x - shift for s in symbols.tolist() for x in full.get(s, [s])] == ids.tolist()
+        assert token_grammar.expansion_lengths(rules, base).tolist() == list(map(len, full.values())) if not shift else True
+
+
+def test_copies_become_one_symbol():
+    rnd = random.Random(5)
+    copy = np.asarray([rnd.randrange(3, 40_000) for _ in range(300)] + [2], "<u4").tobytes()
+    shard = token_grammar.Shard(token_grammar.write_shard(list(range(1000)), [copy] * 1000, 2))
+    assert len(shard.symbols) == 2000 and shard.document(999, 10, 290).tobytes() == copy[40:1160]
+    run = np.asarray([5] * 100_000 + [2], "<u4").tobytes()
+    assert len(token_grammar.Shard(token_grammar.write_shard([0], [run], 2)).symbols) < 20
+
+
 def test_grammar_odd_rows(odd, nothing, spark):
     rows = token_grammar.read(token_grammar.write(odd, str(word_file()), 2, shard_tokens=100)).collect()
     assert len(rows) == 13 and [r.n_tokens for r in rows if r.doc_id == 1] == [1]

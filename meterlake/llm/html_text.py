@@ -4,7 +4,7 @@ A page is read once into blocks: runs of text between the starts and ends of blo
 elements above it. Paths, not single nodes, are judged: over all blocks with the same path, the characters per block (the
 text ratio) and the punctuation per block (the punctuation ratio). Both are smoothed over the blocks in page order with a
 Gaussian and fused as a product, less what stands in links; paths above a share of the page's spread are content. The main
-text is then what stands in the smallest element around most of the content: its other blocks belong to it as well (a
+text is then what stands in the smallest element around all of the content: its other blocks belong to it as well (a
 heading, a short paragraph) unless they are mostly links. Elements whose tag, class, id or role says that they are no
 article (menus, headers, footers, sidebars, notices, adverts, forms, comments of readers) are left out beforehand.
 
@@ -47,7 +47,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+")
 MARKS = re.compile(r"[.,;:!?…。，、；：！？«»\"“”„()–—]")
-SPREAD, MOST, LINKED, RADIUS = 0.25, 0.7, 0.5, 1.0
+SPREAD, LINKED, RADIUS = 0.25, 0.5, 1.0
 
 
 class _Element:
@@ -206,7 +206,7 @@ def content(found: list[_Block]) -> list[_Block]:
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
     chosen = [b for b in found if of_path[b.path] >= max(SPREAD * spread, 1e-9)] or found
-    # the smallest element that holds most of the chosen text
+    # the smallest element that holds all of the chosen text
     inside: dict[_Element, int] = defaultdict(int)
     for b in chosen:
         e = b.element
@@ -219,7 +219,7 @@ def content(found: list[_Block]) -> list[_Block]:
         depth, up = 0, e
         while up:
             depth, up = depth + 1, up.above
-        if n >= MOST * total and (e.tag in CONTAINERS or not e.tag):
+        if n == total and (e.tag in CONTAINERS or not e.tag):
             paths.append((depth, e))
     around = max(paths, key=lambda x: x[0])[1]
     e = around

@@ -348,6 +348,15 @@ def test_html_without_an_article():
     assert text == ["Title", (sentence * 4).strip(), "Short.", sentence.strip(), "two & three"]
 
 
+def test_html_in_several_containers():
+    sentence = "This is a sentence of some length, with a comma; and more. "
+    for parts in ((8, 2), (2, 8), (30, 3, 1)):
+        for tag in ("div class=part", "section", "article"):
+            inner = "".join(f"<{tag}><h2>Part {k}</h2>{f'<p>{sentence}</p>' * n}</{tag.split()[0]}>" for k, n in enumerate(parts))
+            page = f"<body><div class=menu><a href=1>Home</a></div><div class=content>{inner}</div><footer>{sentence}</footer></body>"
+            assert html_text.main_text(page).split("\n") == [x for k, n in enumerate(parts) for x in [f"Part {k}", *[sentence.strip()] * n]]
+
+
 def test_html_odd_rows(spark):
     cases = [None, "", "plain &lt;text&gt;", "<p>", "<<<>>>", "<script>x</p>", "<div " * 2000, "<p>a" * 20_000, "</div></p>x", "<!-- open", "<p>x &#128520; &nbsp; y</p>", "<![CDATA[a<b]]>"]
     df = spark.createDataFrame([(i, None, c) for i, c in enumerate(cases)] + [(None, "u", "<p>q</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))

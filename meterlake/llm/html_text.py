@@ -5,8 +5,11 @@ elements above it. Paths, not single nodes, are judged: over all blocks with the
 text ratio) and the punctuation per block (the punctuation ratio). Both are smoothed over the blocks in page order with a
 Gaussian and fused as a product, less what stands in links; paths above a share of the page's spread are content. The main
 text is then what stands in the smallest element around all of the content: its other blocks belong to it as well (a
-heading, a short paragraph) unless they are mostly links. Elements whose tag, class, id or role says that they are no
-article (menus, headers, footers, sidebars, notices, adverts, forms, comments of readers) are left out beforehand.
+heading, a short paragraph) unless they are mostly links. Elements whose tag says that they are no article
+(menus, headers, footers, forms), and hidden ones, are left out beforehand. A class, id or role that says so (sidebars,
+notices, adverts, comments of readers) is a hint only. It doesn't count for a heading, for an element around an article
+or main element, or for one with a large share of the page's text; within an article or main element not for paragraphs
+and the like, and for others only if it is the whole name or if the element is mostly links.
 
 Scale: a map over whole pages, one at a time in memory.
 
@@ -34,13 +37,15 @@ CLOSES_PARAGRAPH = {"address", "article", "aside", "blockquote", "details", "div
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIST_TOPS = {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "menu"}
 
-# Words in a class, id or role that mark what is no article.
+# Words in a class, id or role that hint at what is no article.
 OUTSIDE_TAGS = {"nav", "header", "footer", "aside", "form", "head", "button", "dialog", "menu"}
 OUTSIDE_WORDS = set(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright disqus "
     "footer gdpr login masthead menu modal nav navbar navigation navigationbar newsletter notice notification pagination pager popup promo promotion related replies reply recommended "
     "respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget complementary alert".split()
 )
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PROSE = {"p", "blockquote", "pre", "li", "dt", "dd", "tr", "td", "th", "figure", "figcaption"}
 CONTAINERS = {"article", "main", "section", "div", "body", "td", "html"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -48,13 +53,14 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\
 WORD = re.compile(r"[a-z]+")
 MARKS = re.compile(r"[.,;:!?…。，、；：！？«»\"“”„()–—]")
 SPREAD, LINKED, RADIUS = 0.25, 0.5, 1.0
+LARGE, LARGE_BESIDE = 0.5, 0.9  # shares of the page's text; the second where an article or main element has text
 
 
 class _Element:
-    __slots__ = ("above", "inside", "label", "outside", "tag")
+    __slots__ = ("above", "hint", "inside", "label", "outside", "tag")
 
-    def __init__(self, tag: str, label: str, above: _Element | None, outside: bool) -> None:
-        self.tag, self.label, self.above, self.outside = tag, label, above, outside
+    def __init__(self, tag: str, label: str, above: _Element | None, outside: bool, hint: int = 0) -> None:
+        self.tag, self.label, self.above, self.outside, self.hint = tag, label, above, outside, hint
 
 
 class _Block:
@@ -79,15 +85,24 @@ def _outside(tag: str, attributes: str, above: _Element) -> bool:
                 return False
             e = e.above
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
+    for m in ATTRIBUTE.finditer(attributes) if tag not in ("html", "body", "article", "main") else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name in ("class", "id", "role") and not OUTSIDE_WORDS.isdisjoint(WORD.findall(value)):
+        if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
 
+def _hint(tag: str, attributes: str) -> int:
+    """2 if a whole name in class, id or role says that this is no article, 1 if a part of a name does, else 0."""
+    found = 0
+    if tag not in HEADINGS and tag not in ("html", "body", "article", "main"):
+        for m in ATTRIBUTE.finditer(attributes):
+            value = (m[2] or m[3] or m[4] or "").lower()
+            if m[1].lower() in ("class", "id", "role") and not OUTSIDE_WORDS.isdisjoint(WORD.findall(value)):
+                found = max(found, 1 if OUTSIDE_WORDS.isdisjoint(value.split()) else 2)
+    return found
+
+
 def blocks(page: str) -> list[_Block]:
     """All blocks with text, outside ones too (their element says so), in page order."""
     top = _Element("", "", None, False)
@@ -170,7 +185,7 @@ def blocks(page: str) -> list[_Block]:
         above = stack[-1]
         outside = _outside(tag, m[3], above) if tag not in INLINE or m[3] else above.outside
         # inline elements are no part of a path; an unclosed one must not hide what follows
-        stack.append(_Element(tag, label, above, outside) if tag not in INLINE else _Element(tag, "", above, outside))
+        stack.append(_Element(tag, label if tag not in INLINE else "", above, outside, _hint(tag, m[3]) if m[3] else 0))
         links += tag == "a"
     flush()
     return out
@@ -186,9 +201,53 @@ def _smoothed(values: list[float]) -> list[float]:
     return out
 
 
+def _without_hinted(found: list[_Block]) -> list[_Block]:
+    """The blocks in no element whose hint counts."""
+    chars, linked, holds = defaultdict(int), defaultdict(int), defaultdict(int)
+    for b in found:
+        e = b.element
+        while e:
+            chars[e] += len(b.text)
+            linked[e] += b.linked
+            e = e.above
+    marked = [e for e in chars if e.tag in ("article", "main")]
+    for m in marked:  # the longest article or main element in each element
+        e = m.above
+        while e:
+            holds[e] = max(holds[e], chars[m])
+            e = e.above
+    longest = max([chars[e] for e in marked if e.tag == "article"] or [chars[e] for e in marked], default=0)
+    large = (LARGE_BESIDE if marked else LARGE) * sum(len(b.text) for b in found)
+    left_out: dict[_Element, bool] = {}
+
+    def counts(e: _Element) -> bool:
+        # comments of readers may be articles too, short ones in an element of that name
+        if not e.hint or e in holds and (e.hint == 1 or holds[e] >= LARGE * longest):
+            return False
+        up = e.above
+        while up and up.tag != "article" and (up.tag != "main" or up in holds):
+            up = up.above
+        if up:
+            return e.tag not in PROSE and (e.hint == 2 and chars[e] < LARGE * chars[up] or linked[e] >= LINKED * chars[e])
+        return chars[e] < large
+
+    out = []
+    for b in found:
+        path, e = [], b.element
+        while e and e not in left_out:
+            path.append(e)
+            e = e.above
+        left = left_out[e] if e else False
+        for e in reversed(path):
+            left = left_out[e] = left or counts(e)
+        if not left:
+            out.append(b)
+    return out
+
+
 def content(found: list[_Block]) -> list[_Block]:
     """The blocks that are the main text."""
-    found = [b for b in found if not b.element.outside]
+    found = _without_hinted([b for b in found if not b.element.outside])
     if not found:
         return []
     chars, marks, linked, count = (defaultdict(float) for _ in range(4))

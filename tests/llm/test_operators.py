@@ -357,6 +357,24 @@ def test_html_in_several_containers():
             assert html_text.main_text(page).split("\n") == [x for k, n in enumerate(parts) for x in [f"Part {k}", *[sentence.strip()] * n]]
 
 
+def test_html_names_are_hints():
+    sentence = "This is a sentence of some length, with a comma; and more. "
+    article = f"<h2 id='search-results'>Results</h2><p>{sentence * 4}</p><section id='related-work'><h3>Related</h3><p>{sentence}</p></section><p class='notice'>{sentence}</p>"
+    whole = ["Results", (sentence * 4).strip(), "Related", sentence.strip(), sentence.strip()]
+    side = f"<div class='sidebar'><p>{sentence}</p></div><section class='user-comments'><p>{sentence * 5}</p></section>"
+    for names in ("layout has-sidebar", "no-sidebar", "with-comments", "plain"):
+        for tag in ("article", "main"):
+            inner = f"<{tag}>{article}<ul class='related-posts'><li><a href=1>Other text, other title</a></ul><div class='newsletter'>{sentence}</div></{tag}>"
+            page = f"<body class='has-sidebar'><div class='menu'>Home</div><div class='{names}'>{inner}{side}</div><footer>{sentence}</footer></body>"
+            assert html_text.main_text(page).split("\n") == whole
+        page = f"<body><div class='menu'>Home</div><div class='{names}'><div class='story'><h2 id='search-results'>Results</h2>{f'<p>{sentence}</p>' * 20}</div>{side}</div></body>"
+        assert html_text.main_text(page).split("\n") == ["Results", *[sentence.strip()] * 20]
+        thread = f"<section id='comments'><ol class='comment-list'>{f'<li class=comment><article><p>{sentence}</p></article>' * 9}</ol></section>"
+        page = f"<body><main><div class='{names}'><article>{article}</article></div>{side}{thread}</main></body>"
+        assert html_text.main_text(page).split("\n") == whole
+    assert html_text.main_text("<body><div class='content'><p hidden>x y</p></div></body>") == ""
+
+
 def test_html_odd_rows(spark):
     cases = [None, "", "plain &lt;text&gt;", "<p>", "<<<>>>", "<script>x</p>", "<div " * 2000, "<p>a" * 20_000, "</div></p>x", "<!-- open", "<p>x &#128520; &nbsp; y</p>", "<![CDATA[a<b]]>"]
     df = spark.createDataFrame([(i, None, c) for i, c in enumerate(cases)] + [(None, "u", "<p>q</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))

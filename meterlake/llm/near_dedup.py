@@ -3,7 +3,7 @@
 1. *Sets.* Each text gives its distinct word shingles (64-bit hashes), their number, a digest of the set, and a MinHash
    signature. Texts with the same set are one class from here on, represented by the least id.
 2. *Forest.* Each of ``TREES`` trees has ``DEPTH`` signature values of its own; its order is that of these values.
-   Neighbours with a common prefix of ``LEAST_DEPTH`` values or more are candidates. Where more than ``RUN`` rows share a
+   Neighbours with a common prefix of ``least_depth`` values or more are candidates. Where more than ``RUN`` rows share a
    prefix, the region goes deeper, to the depth at which ``RUN`` rows or fewer share it, and neighbours in the order are
    candidates as well. The orders are range-partitioned with the id as a tie-breaker: no region is too large for a task.
 3. *Confirmation.* Candidates are grouped by the connected components of the candidate graph and range-partitioned by
@@ -15,7 +15,8 @@
    confirmed there, on their full sets. So depth and neighbourhood bound the work, not the result.
 
 A pair with a similarity of 0.8 has four common values in a tree with a probability of 0.41, in none of 20 trees with
-2.6e-5; at 0.9, 2.3e-10.
+2.6e-5; at 0.9, 2.3e-10. For lower limits the least prefix is shorter, so that this probability stays under ``MISSED``;
+under 41 % no prefix is short enough, and such a limit is an error.
 
 Scale: one shuffle of the texts (to bring those with candidates to their candidates), none of all pairs; the driver gets
 counts only; every step is written to the shared folder.
@@ -40,10 +41,10 @@ from .common import join_groups, stage, with_ids
 from .components import Forest, components
 from .words import chained, hashes, windows
 
-TREES, DEPTH, LEAST_DEPTH, RUN, BLOCK = 20, 8, 4, 12, 128
+TREES, DEPTH, MOST_LEAST_DEPTH, RUN, BLOCK = 20, 8, 4, 12, 128
+MISSED = 3e-5  # at most, of pairs at the limit: those with no common prefix in any tree
 SIGNATURE = TREES * DEPTH
 BATCH_ROWS = 256  # texts or sets that a worker gets at a time
-ALIKE = 0.62  # signatures under it are five deviations away from a similarity of 0.8
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(1)
@@ -86,6 +87,20 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (small + large - common)
 
 
+def least_depth(percent: int) -> int:
+    """Values of a prefix that pairs with a similarity of ``percent`` have in common in some tree."""
+    for depth in range(MOST_LEAST_DEPTH, 0, -1):
+        if (1 - (percent / 100) ** depth) ** TREES <= MISSED:
+            return depth
+    raise ValueError(f"a similarity of {percent} % is too low for {TREES} trees")
+
+
+def least_common(percent: int) -> float:
+    """Signatures with a smaller common share are five deviations away from a similarity of ``percent``; 0.62 for 80 and above."""
+    p = min(percent, 80) / 100
+    return p - 0.45 * (p * (1 - p)) ** 0.5
+
+
 def describe(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``digest`` of the set and ``signature`` (null without shingles) of every row."""
 
@@ -115,39 +130,43 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.full(len(reps), tree, np.int32)), keys, pa.array(reps)], ["tree", "key", "rep"])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(least: int):
     """A range of the forest's orders to candidate pairs, and to the rows of regions that need another look (b is null).
 
     A region's name is its tree, as a byte, and its common prefix.
     """
-    found = list(batches)
-    tree = np.concatenate([b.column(0).to_numpy() for b in found]) if found else np.zeros(0, np.int32)
-    if not len(tree):
-        return
-    raw = [k for b in found for k in b.column(1).to_pylist()]
-    reps = np.concatenate([b.column(2).to_numpy() for b in found])
-    keys = np.frombuffer(b"".join(raw), np.uint16).reshape(len(tree), DEPTH)
-    common = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(1) * (tree[1:] == tree[:-1])
-    region, settled = np.zeros(len(tree), np.int64), np.zeros(len(tree), bool)
-    for depth in range(LEAST_DEPTH, DEPTH + 1):
-        own = np.r_[0, np.cumsum(common < depth)]
-        size = np.bincount(own)
-        if depth == LEAST_DEPTH:
-            again = (size[own] > RUN) | (own == 0) | (own == own[-1])
-        now = ~settled & (size[own] <= RUN)
-        region[now] = depth * (len(tree) + 1) + own[now]
-        settled |= now
-    pairs = [(np.flatnonzero(common >= LEAST_DEPTH), 1)]
-    for k in range(2, RUN):
-        if k < len(tree):
-            pairs.append((np.flatnonzero(settled[k:] & (region[k:] == region[:-k])), k))
-    a = np.concatenate([reps[i] for i, _ in pairs])
-    b = np.concatenate([reps[i + k] for i, k in pairs])
-    a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0).T
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("region", pa.binary())])
-    yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], schema=schema)
-    at = np.flatnonzero(again)
-    yield pa.record_batch([pa.array(reps[at]), pa.nulls(len(at), pa.int64()), pa.array([bytes([tree[i]]) + raw[i][: 2 * LEAST_DEPTH] for i in at], pa.binary())], schema=schema)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        tree = np.concatenate([b.column(0).to_numpy() for b in found]) if found else np.zeros(0, np.int32)
+        if not len(tree):
+            return
+        raw = [k for b in found for k in b.column(1).to_pylist()]
+        reps = np.concatenate([b.column(2).to_numpy() for b in found])
+        keys = np.frombuffer(b"".join(raw), np.uint16).reshape(len(tree), DEPTH)
+        common = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(1) * (tree[1:] == tree[:-1])
+        region, settled = np.zeros(len(tree), np.int64), np.zeros(len(tree), bool)
+        for depth in range(least, DEPTH + 1):
+            own = np.r_[0, np.cumsum(common < depth)]
+            size = np.bincount(own)
+            if depth == least:
+                again = (size[own] > RUN) | (own == 0) | (own == own[-1])
+            now = ~settled & (size[own] <= RUN)
+            region[now] = depth * (len(tree) + 1) + own[now]
+            settled |= now
+        pairs = [(np.flatnonzero(common >= least), 1)]
+        for k in range(2, RUN):
+            if k < len(tree):
+                pairs.append((np.flatnonzero(settled[k:] & (region[k:] == region[:-k])), k))
+        a = np.concatenate([reps[i] for i, _ in pairs])
+        b = np.concatenate([reps[i + k] for i, k in pairs])
+        a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0).T
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("region", pa.binary())])
+        yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], schema=schema)
+        at = np.flatnonzero(again)
+        yield pa.record_batch([pa.array(reps[at]), pa.nulls(len(at), pa.int64()), pa.array([bytes([tree[i]]) + raw[i][: 2 * least] for i in at], pa.binary())], schema=schema)
+
+    return neighbours
 
 
 def _confirm_near(percent: int):
@@ -207,6 +226,7 @@ def _compare_blocks(percent: int):
 
     A pair is looked at in the first tree in which it has a common prefix only: it is settled there, by the order or here.
     """
+    least, alike_from = least_depth(percent), least_common(percent)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         left, right, tree = rows[rows["left"]], rows[~rows["left"]], rows["region"].iloc[0][0]
@@ -216,8 +236,8 @@ def _compare_blocks(percent: int):
         for rep, root, words in zip(left["rep"], left["root"], left["words"]):
             mine = np.frombuffer(words, np.uint64)
             equal = values == signature(mine)
-            prefix = equal.reshape(-1, TREES, DEPTH)[:, :, :LEAST_DEPTH].all(2)
-            some = np.flatnonzero((equal.mean(1) >= ALIKE) & (roots != root) & (prefix.argmax(1) == tree))
+            prefix = equal.reshape(-1, TREES, DEPTH)[:, :, :least].all(2)
+            some = np.flatnonzero((equal.mean(1) >= alike_from) & (roots != root) & (prefix.argmax(1) == tree))
             for i in some[np.argsort(-equal[some].mean(1), kind="stable")]:
                 if forest.root(root) != forest.root(int(roots[i])) and alike(mine, sets[i], percent):
                     forest.union(root, int(roots[i]))
@@ -261,7 +281,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id
 
     forest = classes.select("rep", "signature").mapInArrow(_trees, "tree int, key binary, rep long")
     forest = forest.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    found = stage(forest.mapInArrow(_neighbours, "a long, b long, region binary"), "neighbours")
+    found = stage(forest.mapInArrow(_neighbours(least_depth(percent)), "a long, b long, region binary"), "neighbours")
     pairs = stage(found.filter("b is not null").select("a", "b").distinct(), "pairs")
     again = found.filter("b is null").select("region", F.col("a").alias("rep"))
     crowded = stage(again.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")

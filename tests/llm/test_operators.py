@@ -562,6 +562,22 @@ def plain_groups(texts, n, percent):
     return {i: (len(s), forest.root(i)) for i, s in sets.items()}
 
 
+def test_near_dedup_at_half(spark):
+    """Pairs at a similarity of 0.5, all of which are found."""
+    rnd = random.Random(9)
+    word = lambda: str(rnd.randrange(10**9))
+    texts = []
+    for _ in range(60):
+        a, b = [word() for _ in range(90)], [word() for _ in range(30)]
+        texts += [" ".join(a), " ".join(a[:60] + b)]
+    want = {i: i - i % 2 for i in range(120)}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.groups(frame, n=1, percent=50).collect()} == want
+    assert (near_dedup.least_depth(80), near_dedup.least_depth(95)) == (4, 4) and near_dedup.least_common(80) == pytest.approx(0.62)
+    with pytest.raises(ValueError):
+        near_dedup.groups(frame, percent=30)
+
+
 def test_near_dedup(spark, docs):
     rows = queries.op10_near_dedup(spark, SF).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain_groups(docs, 4, 80) and all(r.kept == (r.doc_id == r.component_id) for r in rows)

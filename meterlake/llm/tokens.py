@@ -2,8 +2,10 @@
 
 A BPE model sees one piece of text at a time (a word with its blank, a run of digits, ...), and running text repeats
 its pieces. So each text is cut into pieces once, and the library encodes each distinct piece once; a text's ids are
-the joined ids of its pieces. The ids are those of the library over the whole text, at a fraction of the time. A file
-whose pre-tokenizer isn't one of the two known here is used over whole texts.
+the joined ids of its pieces. The ids are those of the library over the whole text, at a fraction of the time. Strings of
+the file's added tokens in a text get the ids of these tokens, as in the library: they cut the text before anything else.
+A file whose pre-tokenizer isn't one of the two known here, or whose added tokens take white space along, is used over
+whole texts.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Callable
 from functools import cache
 from operator import attrgetter
 
-PIECES_KEPT = 400_000
+PIECES_KEPT, LONGEST_KEPT = 400_000, 64  # pieces that a process keeps, and the bytes of one
 ID = attrgetter("id")
 
 # How the two kinds of file cut a text, as written in them or in their library.
@@ -65,40 +67,49 @@ class _Ids(dict):
         self.tokenize, self.written = model.tokenize, _byte_characters()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES_KEPT:
-            self.clear()
         plain = piece.isascii() and piece.isprintable() and " " not in piece
         tokens = self.tokenize(piece if plain else piece.encode().decode("latin-1").translate(self.written))
-        out = self[piece] = array("I", map(ID, tokens)).tobytes()
+        out = array("I", map(ID, tokens)).tobytes()
+        if len(piece) <= LONGEST_KEPT:  # of longer ones a cache could fill the memory
+            if len(self) >= PIECES_KEPT:
+                self.clear()
+            self[piece] = out
         return out
 
 
 @cache
 def encoder(path: str) -> Callable[[str], bytes]:
-    """A function from text to its ids as bytes, without special tokens. One for each process and file."""
+    """A function from text to its ids as bytes, with no special tokens added. One for each process and file."""
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True  # their strings in a text are ordinary text
     before, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
     steps = before.get("pretokenizers", [])
-    plain = not spec["model"].get("dropout")
+    added = {t["content"]: t["id"].to_bytes(4, "little") for t in spec["added_tokens"]}
+    plain = not spec["model"].get("dropout") and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
     if plain and not norm and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]:
         pattern, simple, normal = BYTE_LEVEL, str, str
     elif plain and len(steps) == 2 and steps[0].get("pattern") == {"Regex": WORDS} and steps[0]["invert"] and [n["type"] for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
         pattern, simple, normal = WORDS, str.lower, whole.normalizer.normalize_str
     else:
-        return lambda text: b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids)
+        return lambda text: array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
     get = _Ids(whole.model).__getitem__
     latin = _cutter(pattern, 255)
 
-    def encode(text: str) -> bytes:
+    def ordinary(text: str) -> bytes:
         if _is_latin(text):  # composed as it is
             return b"".join(map(get, latin(simple(text))))
         return b"".join(map(get, _cutter(pattern, sys.maxunicode)(normal(text))))
 
+    around = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")").split
+
+    def encode(text: str) -> bytes:
+        if not any(t in text for t in added):
+            return ordinary(text)
+        return b"".join(added[t] if k % 2 else ordinary(t) for k, t in enumerate(around(text)))
+
     return encode
 
 

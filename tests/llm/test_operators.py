@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -513,31 +514,59 @@ def test_secret_shapes(spark):
     check_secrets(secrets.report(df).collect(), dict(enumerate(texts)))
 
 
-def test_entropy_by_brute_force(spark):
-    rnd = random.Random(6)
-    hidden = ["".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=rnd.randrange(20, 70))) for _ in range(40)]
-    allowed = ["123456789012345678901234", "6fa459ea-ee8a-3ca4-894e-db77e160355e", "some-long-name-of-a-page-2024", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "averylongcompoundwordwithout"]
-    texts = [f"see {h} there" for h in hidden + allowed]
-    rows = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+def plain_entropy(text):
+    """Spans by the definition: the entropy of every window of every run, counted anew."""
 
     def entropy(s):
         return -sum(c / len(s) * np.log2(c / len(s)) for c in Counter(s).values())
 
-    found = 0
-    for i, h in enumerate(hidden):
-        if not any(c.isdigit() for c in h) or any(re.search(p, h) for p in secrets.ALLOWED):
+    classes = {"hex": "([0-9a-f]+|[0-9A-F]+)", "lower": "[0-9a-z]+", "upper": "[0-9A-Z]+", "letters": "[A-Za-z]+", "mixed": ".+"}
+    base = [tuple(map(int, f.split(":")[1:])) for f in plain_secrets(text)[1]]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        run = m[0]
+        if any(re.search(p, run) for p in secrets.SHAPES):
             continue
-        kind = next((k for k, p in (("hex", "^([0-9a-f]+|[0-9A-F]+)$"), ("lower", "^[0-9a-z]+$"), ("upper", "^[0-9A-Z]+$")) if re.match(p, h)), "mixed")
-        hot = [k for k in range(len(h) - 19) if entropy(h[k : k + 20]) >= secrets.BOUNDS[kind] - 1e-9]
-        want = []
-        for k in hot:
-            if want and want[-1][1] >= k + 4:
-                want[-1][1] = k + 24
-            else:
-                want.append([k + 4, k + 24])
-        assert [[s.start, s.end] for s in rows[i].found if s.kind == 3] == want, h
-        found += bool(want)
-    assert found > 25 and not any(s.kind == 3 for i in range(len(hidden), len(texts)) for s in rows[i].found)
+        kind = next(k for k, p in classes.items() if re.fullmatch(p, run))
+        spans = []
+        for k in range(len(run) - 19):
+            if entropy(run[k : k + 20]) >= secrets.BOUNDS[kind] - 1e-9:
+                if spans and spans[-1][1] >= k:
+                    spans[-1][1] = k + 20
+                else:
+                    spans.append([k, k + 20])
+        for a, b in spans:
+            if b - a > secrets.PLACEHOLDER or not re.search(secrets.PLACEHOLDERS, run[a:b]):
+                a, b = a + m.start(), b + m.start()
+                out += [] if any(x <= a and b <= y for x, y in base) else [(a, b)]
+    return out
+
+
+def test_entropy_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 8)
+    rnd = random.Random(6)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    some = lambda of, n: "".join(rnd.choices(of, k=n))
+    hidden = [some(signs, rnd.randrange(20, 70)) for _ in range(40)] + [some(signs[:52], 24) for _ in range(10)] + [some("0123456789abcdef", 23) for _ in range(5)]
+    hidden += ["example_key=" + some(signs, 40), some(signs, 20) + "a" * 30 + some(signs, 25), "token=" + some(signs, 30), "token=abcdef " + some(signs, 30), some(signs, 400)]
+    plain = ["123456789012345678901234", "6fa459ea-ee8a-3ca4-894e-db77e160355e", "some-long-name-of-a-page-2024", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "averylongcompoundwordwithout", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "AbstractFactoryBeanProviderImpl", "a1-" * 40]
+    texts = [f"see {h} there" for h in hidden + plain] + [" ".join(some([*hidden, "password=hunter22", "x"], 12).split()) for _ in range(20)]
+    rows = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert [(s.start, s.end) for s in rows[i].found if s.kind == 3] == plain_entropy(t), t
+    assert sum(any(s.kind == 3 for s in rows[i].found) for i in range(len(hidden))) > 50
+    assert not any(s.kind == 3 for i in range(len(hidden), len(hidden + plain)) for s in rows[i].found)
+
+
+def test_secrets_in_long_texts(spark):
+    """Long runs don't overflow a stack, and many matches take no time with their square."""
+    rnd = random.Random(2)
+    texts = ["a1-" * 200_000, "secret=abcdef " * 60_000, "".join(rnd.choices("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/", k=200_000)), ("Ab3dE5gH7jK9mN1pQ2sT4 " + "-" * 5) * 20_000, "a" * 1_000_000, "token=" * 100_000]
+    began = time.time()
+    rows = {r.doc_id: r for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))).collect()}
+    assert time.time() - began < 60
+    check_secrets(rows.values(), dict(enumerate(texts)))
+    assert rows[0].spans == "" and rows[1].n_assign == 60_000 and rows[2].spans.count("entropy") >= 1 and rows[3].spans.count("entropy") == 20_000
 
 
 def test_secrets_odd_rows(odd, nothing):

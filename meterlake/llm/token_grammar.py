@@ -7,16 +7,19 @@ with an end id are left alone, so that a document is a run of symbols of its own
 expansion, and each document's first symbol and first token: one document, or a range of tokens in it, is decoded
 without the rest.
 
-Layout, little-endian: magic ``RPG1``; counts as unsigned 64-bit integers (documents, tokens, symbols, rules, least
-nonterminal); document ids, each document's first token and first symbol (64 bits); both sides and the expansion length
+Layout, little-endian: magic ``RPG2``; counts as unsigned 64-bit integers (documents, tokens, symbols, rules, least
+nonterminal, documents without an id, which come first); document ids, each document's first token and first symbol (64 bits); both sides and the expansion length
 of each rule (32 bits); the symbols' low 16 bits, then for each higher bit in use a plane of single bits.
 
 Scale: documents are range-partitioned by id once; a task writes its shards as it goes, in rows of a Parquet table, so
 they lie wherever Spark can write and a lost task is written again whole. Only one number for each partition, its
 tokens, goes through the driver, to turn places in a partition into places in the corpus.
 
-Defined results: a null or empty text has only the end id; rows with the same id follow each other ordered by text; an
-empty table gives no shards; further columns are ignored.
+Ranges are cut by id, a hash of the text and a row number, so that rows with one id (or none) don't all go to one task. A
+document longer than a shard is a shard of its own.
+
+Defined results: a null or empty text has only the end id; null ids come first and stay null; rows with the same id follow
+each other in the order of a hash of their texts; an empty table gives no shards; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +36,10 @@ from pyspark.sql import functions as F
 from .common import stage
 
 SHARD_TOKENS = 1 << 20
-LEAST_USES, TIER = 4, 4
+LEAST_USES, TIER = 4, 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SHARD = "partition int, shard int, start long, n_tokens long, n_docs long, payload binary"
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 
 
 def compress(ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -154,8 +157,13 @@ class Grammar:
         return self.flat[places]
 
 
-def write_shard(doc_ids: list[int], texts: list[bytes], end_id: int) -> bytes:
-    """A shard's bytes. ``texts``: the ids of each document, as little-endian unsigned 32-bit integers with the end id."""
+def write_shard(doc_ids: list[int | None], texts: list[bytes], end_id: int) -> bytes:
+    """A shard's bytes. ``texts``: the ids of each document, as little-endian unsigned 32-bit integers with the end id.
+
+    Documents without an id (None) come first.
+    """
+    nulls = doc_ids.count(None)
+    numbers = [0] * nulls + doc_ids[nulls:]
     ids = np.frombuffer(b"".join(texts), "<u4")
     first_token = np.r_[0, np.cumsum([len(t) // 4 for t in texts])].astype(np.int64)
     symbols, rules, base = compress(ids, end_id)
@@ -165,10 +173,10 @@ def write_shard(doc_ids: list[int], texts: list[bytes], end_id: int) -> bytes:
     sizes[inner] = lengths[symbols[inner] - base]
     ends = np.cumsum(sizes)
     first_symbol = np.r_[0, np.searchsorted(ends, first_token[1:]) + 1].astype(np.int64)
-    counts = np.array([len(doc_ids), len(ids), len(symbols), len(rules), base], "<u8")
+    counts = np.array([len(doc_ids), len(ids), len(symbols), len(rules), base, nulls], "<u8")
     planes = [np.packbits((symbols >> np.uint32(b)) & np.uint32(1)).tobytes() for b in range(16, max(16, int(symbols.max(initial=0)).bit_length()))]
     return b"".join([
-        MAGIC, counts.tobytes(), np.asarray(doc_ids, "<i8").tobytes(), first_token.astype("<i8").tobytes(), first_symbol.astype("<i8").tobytes(),
+        MAGIC, counts.tobytes(), np.asarray(numbers, "<i8").tobytes(), first_token.astype("<i8").tobytes(), first_symbol.astype("<i8").tobytes(),
         rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), (symbols & np.uint32(0xFFFF)).astype("<u2").tobytes(), *planes,
     ])
 
@@ -187,7 +195,7 @@ class Shard:
             at += out.nbytes
             return out
 
-        docs, self.n_tokens, n_symbols, n_rules, base = (int(x) for x in take("<u8", 5))
+        docs, self.n_tokens, n_symbols, n_rules, base, self.nulls = (int(x) for x in take("<u8", 6))
         self.doc_ids, self.first_token, self.first_symbol = take("<i8", docs), take("<i8", docs + 1), take("<i8", docs + 1)
         rules, lengths = take("<u4", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules).astype(np.int64)
         symbols = take("<u2", n_symbols).astype(np.uint32)
@@ -243,8 +251,9 @@ def write(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int, shar
             yield shard()
 
     schema = pa.schema([("partition", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())])
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "hash", "row"]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return stage(ordered.mapInArrow(encode, SHARD), "shards")
 
 
@@ -260,7 +269,7 @@ def read(shards: DataFrame) -> DataFrame:
                 shard = Shard(payload.as_py())
                 ids, first = shard.all_ids().astype("<u4"), shard.first_token
                 yield pa.record_batch([
-                    pa.array(shard.doc_ids), pa.array(first[:-1] + start + before[part]), pa.array(np.diff(first)),
+                    pa.array(shard.doc_ids, mask=np.arange(len(shard.doc_ids)) < shard.nulls), pa.array(first[:-1] + start + before[part]), pa.array(np.diff(first)),
                     pa.array([zlib.crc32(ids[a:b]) for a, b in zip(first[:-1], first[1:])], pa.int64()),
                 ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

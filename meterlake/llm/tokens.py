@@ -18,7 +18,7 @@ from collections.abc import Callable
 from functools import cache
 from operator import attrgetter
 
-PIECES_KEPT, LONGEST_KEPT = 400_000, 64  # pieces that a process keeps, and the bytes of one
+PIECES_KEPT, LONGEST_KEPT = 300_000, 64  # pieces of a generation, of which a process keeps two, and characters of a piece
 ID = attrgetter("id")
 
 # How the two kinds of file cut a text, as written in them or in their library.
@@ -61,17 +61,20 @@ def _byte_characters() -> list[int]:
 
 
 class _Ids(dict):
-    """Piece to its ids as little-endian unsigned 32-bit integers; forgets all when it is full."""
+    """Piece to its ids as little-endian unsigned 32-bit integers; forgets what wasn't used since it was full before."""
 
     def __init__(self, model) -> None:
-        self.tokenize, self.written = model.tokenize, _byte_characters()
+        self.tokenize, self.written, self.older = model.tokenize, _byte_characters(), {}
 
     def __missing__(self, piece: str) -> bytes:
-        plain = piece.isascii() and piece.isprintable() and " " not in piece
-        tokens = self.tokenize(piece if plain else piece.encode().decode("latin-1").translate(self.written))
-        out = array("I", map(ID, tokens)).tobytes()
+        out = self.older.get(piece)
+        if out is None:
+            plain = piece.isascii() and piece.isprintable() and " " not in piece
+            tokens = self.tokenize(piece if plain else piece.encode().decode("latin-1").translate(self.written))
+            out = array("I", map(ID, tokens)).tobytes()
         if len(piece) <= LONGEST_KEPT:  # of longer ones a cache could fill the memory
             if len(self) >= PIECES_KEPT:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out

@@ -70,7 +70,7 @@ def test_a_full_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(tokens, "PIECES_KEPT", 3)
     tokens.encoder.cache_clear()
     encode, whole = tokens.encoder(str(byte_file())), Tokenizer.from_file(str(byte_file()))
-    for t in ("one two three four five", "five four one"):
+    for t in ("one two three four five", "five four one", "one one two five six seven one"):
         assert encode(t) == np.asarray(whole.encode(t).ids, "<u4").tobytes()
     tokens.encoder.cache_clear()
 
@@ -246,7 +246,11 @@ def test_grammar_odd_rows(odd, nothing, spark):
     rows = token_grammar.read(token_grammar.write(odd, str(word_file()), 2, shard_tokens=100)).collect()
     assert len(rows) == 13 and [r.n_tokens for r in rows if r.doc_id == 1] == [1]
     ordered = sorted(rows, key=lambda r: r.start)
-    assert [r.start for r in ordered] == list(itertools.accumulate([0] + [r.n_tokens for r in ordered[:-1]])) and [r.doc_id for r in ordered] == sorted(r.doc_id for r in rows)
+    assert [r.start for r in ordered] == list(itertools.accumulate([0] + [r.n_tokens for r in ordered[:-1]])) 
+    assert [r.doc_id for r in ordered] == [None, None, 0, 1, 2, 3, 3, 4, 5, 6, 7, 8, 9]
+    assert sorted(r.n_tokens for r in ordered[:2]) == [1, 3]
+    same = odd.sparkSession.createDataFrame([(None, "same text")] * 200, "doc_id long, text string")
+    assert [r.start for r in sorted(token_grammar.read(token_grammar.write(same, str(word_file()), 2, shard_tokens=10)).collect(), key=lambda r: r.start)] == list(range(0, 600, 3))
     assert token_grammar.read(token_grammar.write(nothing, str(word_file()), 2)).count() == 0
 
 

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder is made and kept in the session's
-    settings under a name of our own.
+    Only where the session has none and runs in one process (a ``local`` master, as in tests) a temporary folder is made and
+    kept in the session's settings under a name of our own. On a cluster its absence is an error: files in a machine's own
+    folder would be lost to the others.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("meterlake.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="meterlake-")
         spark.conf.set("meterlake.shared.dir", found)
     return found.rstrip("/")
@@ -58,15 +61,18 @@ def with_ids(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
     return rows.join(ids, F.col("id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, copies: str, share: int = 1000) -> DataFrame:
+MOST_HOT, GROUP_A_TASK = 50_000, 1_000_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, copies: str) -> DataFrame:
     """Inner join of ``rows`` with their group's row, when a few groups may have a large part of all rows.
 
-    ``groups`` has one row per key, with the number of its rows in ``copies``. The groups with more than a thousandth of
-    all rows are fewer than a thousand: they are broadcast. All others are joined by sort-merge, so that no task gets a
-    large group's rows.
+    ``groups`` has one row per key, with the number of its rows in ``copies``. Groups with more than a thousandth of all
+    rows, or more than ``GROUP_A_TASK`` of them, are broadcast: the bound is raised so that these are fewer than
+    ``MOST_HOT``. All others are joined by sort-merge, so that no task gets a large group's rows.
     """
     total = groups.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
-    large = F.col(copies) > F.lit(max(16, total // share))
+    large = F.col(copies) > F.lit(max(16, min(total // 1000, GROUP_A_TASK), total // MOST_HOT))
     hot, rest = groups.filter(large), groups.filter(~large)
     marked = F.broadcast(hot.select(key))
     by_map = rows.join(F.broadcast(hot), key)

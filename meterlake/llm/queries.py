@@ -37,7 +37,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
+    with exact_dedup.DigestIndex(spark) as index:
+        return exact_dedup.dedup(table(spark, sf_dir, "documents"), index)
 
 
 ORACLE_SQL["op2_exact_dedup"] = """

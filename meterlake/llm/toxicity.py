@@ -5,11 +5,14 @@ is fitted on at most ``SAMPLE`` labelled rows, the first in the order of a hash
 of fewer than ``LEAST_TEXTS`` sampled texts are left out. Each coordinate has its own rate, and the L1 term leaves
 few weights: a sorted array of hashes with their weights, small whatever the corpus, which goes to the tasks that score.
 
-Scale: the sample is picked from the labels alone and broadcast (its size is its bound); the texts are read twice, never
-shuffled. One task fits, on features only. Scoring is a map.
+Scale: the sample is picked from the labels alone and broadcast (its size is its bound); the texts are read twice and only
+the sampled ones are shuffled. All tasks compute features of their own part of the sample, which is written; one task then
+fits on that table. Scoring is a map.
 
 Defined results: a null or empty text has no features and gets the score of the bias; rows are scored one by one, so
-repeated rows get the same score; without any label of either kind the score is 0 for all; further columns are ignored.
+repeated rows get the same score; an id with several labels counts as toxic if one says so, and of several rows with a
+sampled id the text that comes first is learned; null ids and null labels aren't learned; without any label of either kind
+the score is 0 for all; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash
+from .common import first_by_hash, stage
 from .words import alphanumeric_words, chained, hashes
 
 SAMPLE = 8000
@@ -91,7 +94,7 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], passes: int = PASSES, seed: int
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fit on at most ``sample`` rows of ``labels`` (id, 0 or 1)."""
-    some = labels.filter(F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
+    some = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     some = first_by_hash(some, "_id", sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         yield pa.record_batch([[m.keys.tobytes()], [m.weights.tobytes()], [m.bias]], ["keys", "weights", "bias"])
 
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text"))
-    texts = rows.join(F.broadcast(some), "_id").select("_text", "_y")
-    found = texts.mapInArrow(features, "y int, x binary").coalesce(1).mapInArrow(fitted, "keys binary, weights binary, bias double").first()
+    texts = rows.join(F.broadcast(some), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
+    sampled = stage(texts.select("_text", "_y").mapInArrow(features, "y int, x binary"), "features")
+    found = sampled.coalesce(1).mapInArrow(fitted, "keys binary, weights binary, bias double").first()
     if found is None:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0)
     return Model(np.frombuffer(found.keys, np.uint64), np.frombuffer(found.weights), found.bias)

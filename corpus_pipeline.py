@@ -23,7 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id."""
-    return exact_dedup.keep_rows(docs, exact_dedup.DigestIndex(spark))
+    with exact_dedup.DigestIndex(spark) as index:
+        return exact_dedup.keep_rows(docs, index)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,7 @@ def test_ids_are_those_of_the_library(path):
     alphabet = [*map(chr, range(32, 127)), *"éßÿµÀ\x85\xa0\n\t\x1c\x1f  ", *map(chr, rnd.sample(range(0x100, 0x3000), 200)), *"𝔘🎈Σς’"]
     texts = ["".join(rnd.choices(alphabet, k=rnd.randrange(40))) for _ in range(3000)] + ["", "don't I'LL 's", "ΑΣ ΣΑΣ.", "İ", "<|endoftext|>", "a  b   c", "x" * 100]
     marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>"]
+    texts += ["".join(rnd.choices(["a", "b'", " ", " ", "\n", "\t", "\x1c", "\x85", "\u3000", "\u200b", "1", "."], k=rnd.randrange(12))) for _ in range(3000)]
     texts += ["".join(rnd.choices([*marks, "e", "\u0301", " ", "\n", "'", "s", "ΑΣ"], k=rnd.randrange(12))) for _ in range(2000)] + ["hello <|endoftext|> there"]
     encode = tokens.encoder(str(path))
     for t in texts:

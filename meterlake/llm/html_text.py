@@ -3,18 +3,26 @@
 A page is read once into blocks: runs of text between the starts and ends of block elements, each with the path of
 elements above it. Paths, not single nodes, are judged: over all blocks with the same path, the characters per block (the
 text ratio) and the punctuation per block (the punctuation ratio). Both are smoothed over the blocks in page order with a
-Gaussian and fused as a product, less what stands in links; paths above a share of the page's spread are content. The main
-text is then what stands in the smallest element around all of the content: its other blocks belong to it as well (a
-heading, a short paragraph) unless they are mostly links. Elements whose tag says that they are no article
-(menus, headers, footers, forms), and hidden ones, are left out beforehand. A class, id or role that says so (sidebars,
-notices, adverts, comments of readers) is a hint only. It doesn't count for a heading, for an element around an article
-or main element, or for one with a large share of the page's text; within an article or main element not for paragraphs
-and the like, and for others only if it is the whole name or if the element is mostly links.
-
-Scale: a map over whole pages, one at a time in memory.
-
-Defined results: a null or empty page, or one without text, gives an empty text; repeated rows get the same result; a tag
-that is never closed, or closed without being open, only affects where blocks end; further columns are ignored.
+Gaussian; each ratio and its smoothed one are fused as a geometric mean, the two kinds as a product, less what stands in
+links. So a lone notice beside an article gains little from its neighbour. Paths above a share of the page's spread are content.
+
+Names weigh, they don't decide. An element whose tag (menus, headers, footers, forms) or whose class, id or role (sidebars,
+notices, adverts, comments of readers) hints that it is no article has its blocks' scores multiplied by ``FAINT``: long
+running text in it is still content, and a page without any telling name is judged by its ratios alone. A hint doesn't
+count for a heading, for an element around an article or main element, or for one with a large share of the page's text;
+within an article or main element not for paragraphs and the like, and for a part of a name only if the element is mostly
+links.
+
+The main text is then what stands in the smallest element around all of the content: its other blocks belong to it as well
+(a heading, a short paragraph) unless they are mostly links or hinted at. Left out beforehand are only the head, hidden
+elements, and elements whose inside is no text (scripts, styles, drawings, input fields).
+
+Scale: a map over whole pages, one at a time in memory; time grows with a page's length, also for broken pages and tags
+without an end. Elements nested deeper than ``DEEPEST`` are read as siblings, as browsers do.
+
+Defined results: a null or empty page, or one without text, gives an empty text; rows without an id are extracted as any
+others, repeated rows get the same result; paths with equal scores are content together or not at all; a tag that is never
+closed, or closed without being open, only affects where blocks end; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,23 +30,24 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Names of the standard.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "audio", "video", "select", "datalist", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "template", "textarea", "title", "iframe", "svg", "canvas", "audio", "video", "select", "datalist", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "math", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE |= {"mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "mpadded", "mphantom", "msub", "msup", "msubsup", "munder", "mover", "munderover", "semantics"}
 CLOSES_PARAGRAPH = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIST_TOPS = {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "menu"}
 
 # Words in a class, id or role that hint at what is no article.
-OUTSIDE_TAGS = {"nav", "header", "footer", "aside", "form", "head", "button", "dialog", "menu"}
+OUTSIDE_TAGS = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu"}
 OUTSIDE_WORDS = set(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright disqus "
     "footer gdpr login masthead menu modal nav navbar navigation navigationbar newsletter notice notification pagination pager popup promo promotion related replies reply recommended "
@@ -46,73 +55,73 @@ OUTSIDE_WORDS = set(
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PROSE = {"p", "blockquote", "pre", "li", "dt", "dd", "tr", "td", "th", "figure", "figcaption"}
+TOPS = {"html", "body", "article", "main"}
 CONTAINERS = {"article", "main", "section", "div", "body", "td", "html"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[A-Za-z])")
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+")
-MARKS = re.compile(r"[.,;:!?…。，、；：！？«»\"“”„()–—]")
-SPREAD, LINKED, RADIUS = 0.25, 0.5, 1.0
-LARGE, LARGE_BESIDE = 0.5, 0.9  # shares of the page's text; the second where an article or main element has text
+MARKS = re.compile(r"[.,;:!?…](?!\S)|[。，、；：！？«»\"“”„()–—]")  # a point in a name or number is none
+SPREAD, LINKED, RADIUS, FAINT = 0.5, 0.5, 1.0, 0.001
+LARGE, LARGE_BESIDE = 0.5, 0.9  # shares of the page's text; the second for tags, and where an article or main element has text
+DEEPEST = 512
+PART, NAME, TAGGED = 1, 2, 3  # hints: a part of a name, a whole name, the tag
 
 
 class _Element:
-    __slots__ = ("above", "hint", "inside", "label", "outside", "tag")
+    __slots__ = ("above", "depth", "hint", "outside", "path", "tag")
 
-    def __init__(self, tag: str, label: str, above: _Element | None, outside: bool, hint: int = 0) -> None:
-        self.tag, self.label, self.above, self.outside, self.hint = tag, label, above, outside, hint
+    def __init__(self, tag: str, path: int, above: _Element | None, outside: bool, hint: int = 0) -> None:
+        self.tag, self.path, self.above, self.outside, self.hint = tag, path, above, outside, hint
+        self.depth = above.depth + 1 if above else 0
 
 
 class _Block:
     __slots__ = ("element", "linked", "path", "text")
 
     def __init__(self, element: _Element, text: str, linked: int) -> None:
-        self.element, self.text, self.linked = element, text, linked
-        labels, e = [], element
-        while e:
-            labels.append(e.label)
-            e = e.above
-        self.path = tuple(reversed(labels))
+        self.element, self.path, self.text, self.linked = element, element.path, text, linked
 
 
-def _outside(tag: str, attributes: str, above: _Element) -> bool:
-    if above.outside:
-        return True
-    if tag in OUTSIDE_TAGS:
-        e = above
-        while tag == "header" and e:  # an article's own heading
-            if e.tag in ("article", "main"):
-                return False
-            e = e.above
-        return True
-    for m in ATTRIBUTE.finditer(attributes) if tag not in ("html", "body", "article", "main") else ():
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+def _within(e: _Element | None, tags: tuple[str, ...]) -> bool:
+    while e:
+        if e.tag in tags:
             return True
+        e = e.above
     return False
 
 
-def _hint(tag: str, attributes: str) -> int:
-    """2 if a whole name in class, id or role says that this is no article, 1 if a part of a name does, else 0."""
-    found = 0
-    if tag not in HEADINGS and tag not in ("html", "body", "article", "main"):
-        for m in ATTRIBUTE.finditer(attributes):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            if m[1].lower() in ("class", "id", "role") and not OUTSIDE_WORDS.isdisjoint(WORD.findall(value)):
-                found = max(found, 1 if OUTSIDE_WORDS.isdisjoint(value.split()) else 2)
-    return found
+def _read_attributes(tag: str, attributes: str) -> tuple[str, bool, int]:
+    """The first class, whether the element is hidden, and the hint of its names."""
+    label, hidden, found = "", False, 0
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "aria-hidden":
+            hidden |= name == "hidden" or value == "true"
+            continue
+        if name == "class" and not label:
+            label = value.split(" ")[0]
+        if not OUTSIDE_WORDS.isdisjoint(WORD.findall(value)):
+            found = max(found, PART if OUTSIDE_WORDS.isdisjoint(value.split()) else NAME)
+    spared = tag in HEADINGS or tag in TOPS
+    return label, hidden and tag not in TOPS, 0 if spared else found
 
 
 def blocks(page: str) -> list[_Block]:
-    """All blocks with text, outside ones too (their element says so), in page order."""
-    top = _Element("", "", None, False)
+    """All blocks with text in page order, but for those in the head and in hidden elements."""
+    top = _Element("", 0, None, False)
     stack, out, parts = [top], [], []  # parts: (text, in a link)
+    paths: dict[tuple[int, str], int] = {}
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()  # raw elements of which no more ends follow
     links = at = 0
 
     def flush() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(p for p, _ in parts)).split())
-            if text:
+            if text and not stack[-1].outside:
                 linked = sum(len("".join(entities.unescape(p).split())) for p, inside in parts if inside)
                 out.append(_Block(stack[-1], text, linked))
             parts.clear()
@@ -123,35 +132,54 @@ def blocks(page: str) -> list[_Block]:
             flush()
         for e in stack[until:]:
             links -= e.tag == "a"
+            opened[e.tag] -= 1
         del stack[until:]
 
     while at < len(page):
-        m = TOKEN.search(page, at)
-        run = page[at : m.start()] if m else page[at:]
-        if run:
-            parts.append((run, links > 0))
-        if not m:
+        start = OPEN.search(page, at)
+        begin = start.start() if start else len(page)
+        if begin > at:
+            parts.append((page[at:begin], links > 0))
+        if not start:
             break
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                parts.append((entities.escape(m[0][9:-3]), links > 0))
+        kind = start[0]
+        if kind == "<!--" or kind == "<![CDATA[":
+            close = "-->" if kind == "<!--" else "]]>"
+            end = page.find(close, start.end())
+            end = end if end >= 0 else len(page)
+            if kind != "<!--":
+                parts.append((entities.escape(page[start.end() : end]), links > 0))
+            at = end + len(close)
+            continue
+        if kind in ("<!", "<?"):
+            end = page.find(">", begin)
+            if end < 0:
+                parts.append((page[begin:], links > 0))
+                break
+            at = end + 1
             continue
+        m = TAG.match(page, begin) or LOOSE_TAG.match(page, begin)  # the second: a quote has no end
+        if not m:  # no tag ends any more
+            parts.append((page[begin:], links > 0))
+            break
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
-                    if tag in INLINE and any(e.tag not in INLINE for e in stack[k:]):
-                        break  # an inline end tag doesn't close the block in which it stands
                     pop(k)
                     break
+                if tag in INLINE and stack[k].tag not in INLINE:
+                    break  # an inline end tag doesn't close the block in which it stands
             else:
                 if tag not in INLINE:
                     flush()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page) if not m[3].rstrip().endswith("/") else at
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not end:
+                endless.add(tag)
+            at = end.end() if end else at if m[3].rstrip().endswith("/") else len(page)
             parts.append((" ", links > 0))
             continue
         if tag in VOID:
@@ -179,14 +207,19 @@ def blocks(page: str) -> list[_Block]:
             flush()
         if m[3].endswith("/") and tag not in INLINE and tag not in CLOSES_PARAGRAPH:
             continue
-        label = tag
-        if m[3] and tag not in INLINE and (c := next((a for a in ATTRIBUTE.finditer(m[3]) if a[1].lower() == "class"), None)):
-            label = f"{tag}.{(c[2] or c[3] or c[4] or '').split(' ')[0]}"
+        if len(stack) > DEEPEST:
+            pop(DEEPEST)
         above = stack[-1]
-        outside = _outside(tag, m[3], above) if tag not in INLINE or m[3] else above.outside
+        label, hidden, hint = _read_attributes(tag, m[3]) if m[3] else ("", False, 0)
+        if tag in OUTSIDE_TAGS and not (tag == "header" and _within(above, ("article", "main"))):  # an article's own heading
+            hint = TAGGED
+        elif tag == "noscript":
+            hint = max(hint, PART)
         # inline elements are no part of a path; an unclosed one must not hide what follows
-        stack.append(_Element(tag, label if tag not in INLINE else "", above, outside, _hint(tag, m[3]) if m[3] else 0))
+        path = above.path if tag in INLINE else paths.setdefault((above.path, f"{tag}.{label}"), len(paths) + 1)
+        stack.append(_Element(tag, path, above, above.outside or hidden or tag == "head", hint))
         links += tag == "a"
+        opened[tag] += 1
     flush()
     return out
 
@@ -201,15 +234,40 @@ def _smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def _without_hinted(found: list[_Block]) -> list[_Block]:
-    """The blocks in no element whose hint counts."""
-    chars, linked, holds = defaultdict(int), defaultdict(int), defaultdict(int)
+def _sums(found: list[_Block], value: Callable[[_Block], int]) -> dict[_Element, int]:
+    """The sum of a value over all blocks in each element that has some."""
+    out: dict[_Element, int] = {}
     for b in found:
-        e = b.element
-        while e:
-            chars[e] += len(b.text)
-            linked[e] += b.linked
+        e: _Element | None = b.element
+        while e and e not in out:
+            out[e] = 0
             e = e.above
+        out[b.element] += value(b)
+    for e in sorted(out, key=lambda e: -e.depth):
+        if e.above:
+            out[e.above] += out[e]
+    return out
+
+
+def _passed_down(found: list[_Block], holds: Callable[[_Element], bool]) -> list[bool]:
+    """For each block whether this holds for an element around it."""
+    known: dict[_Element, bool] = {}
+    out = []
+    for b in found:
+        path, e = [], b.element
+        while e and e not in known:
+            path.append(e)
+            e = e.above
+        said = known[e] if e else False
+        for e in reversed(path):
+            said = known[e] = said or holds(e)
+        out.append(said)
+    return out
+
+
+def _faint(found: list[_Block]) -> list[bool]:
+    """For each block whether it is in an element whose hint counts."""
+    chars, linked, holds = _sums(found, lambda b: len(b.text)), _sums(found, lambda b: b.linked), defaultdict(int)
     marked = [e for e in chars if e.tag in ("article", "main")]
     for m in marked:  # the longest article or main element in each element
         e = m.above
@@ -217,85 +275,62 @@ def _without_hinted(found: list[_Block]) -> list[_Block]:
             holds[e] = max(holds[e], chars[m])
             e = e.above
     longest = max([chars[e] for e in marked if e.tag == "article"] or [chars[e] for e in marked], default=0)
-    large = (LARGE_BESIDE if marked else LARGE) * sum(len(b.text) for b in found)
-    left_out: dict[_Element, bool] = {}
+    total = sum(len(b.text) for b in found)
 
     def counts(e: _Element) -> bool:
         # comments of readers may be articles too, short ones in an element of that name
-        if not e.hint or e in holds and (e.hint == 1 or holds[e] >= LARGE * longest):
+        if not e.hint or e in holds and (e.hint == PART or holds[e] >= LARGE * longest):
             return False
         up = e.above
         while up and up.tag != "article" and (up.tag != "main" or up in holds):
             up = up.above
         if up:
-            return e.tag not in PROSE and (e.hint == 2 and chars[e] < LARGE * chars[up] or linked[e] >= LINKED * chars[e])
-        return chars[e] < large
+            return e.tag not in PROSE and (e.hint >= NAME and chars[e] < LARGE * chars[up] or linked[e] >= LINKED * chars[e])
+        return chars[e] < (LARGE_BESIDE if marked or e.hint == TAGGED else LARGE) * total
 
-    out = []
-    for b in found:
-        path, e = [], b.element
-        while e and e not in left_out:
-            path.append(e)
-            e = e.above
-        left = left_out[e] if e else False
-        for e in reversed(path):
-            left = left_out[e] = left or counts(e)
-        if not left:
-            out.append(b)
-    return out
+    return _passed_down(found, counts)
 
 
-def content(found: list[_Block]) -> list[_Block]:
-    """The blocks that are the main text."""
-    found = _without_hinted([b for b in found if not b.element.outside])
-    if not found:
-        return []
-    chars, marks, linked, count = (defaultdict(float) for _ in range(4))
+def scores(found: list[_Block], faint: list[bool]) -> list[float]:
+    """The fused ratio of each block's path."""
+    chars, marks, linked, count, total = (defaultdict(float) for _ in range(5))
     for b in found:
         chars[b.path] += len(b.text)
         marks[b.path] += len(MARKS.findall(b.text))
         linked[b.path] += b.linked
         count[b.path] += 1
-    text = _smoothed([chars[b.path] / count[b.path] for b in found])
-    points = _smoothed([marks[b.path] / count[b.path] for b in found])
-    fused = [t * (p + 0.1) * (1 - min(1.0, linked[b.path] / max(chars[b.path], 1))) for t, p, b in zip(text, points, found)]
-    of_path: dict[tuple, float] = defaultdict(float)
-    for b, f in zip(found, fused):
-        of_path[b.path] += f / count[b.path]
+    text, points = [chars[b.path] / count[b.path] for b in found], [marks[b.path] / count[b.path] + 0.1 for b in found]
+    near = zip(_smoothed(text), _smoothed(points))
+    for t, p, (smooth_t, smooth_p), b, f in zip(text, points, near, found, faint):
+        total[b.path] += math.sqrt(t * smooth_t * p * smooth_p) * max(0.0, 1 - linked[b.path] / chars[b.path]) * (FAINT if f else 1.0)
+    return [total[b.path] / count[b.path] for b in found]
+
+
+def content(found: list[_Block]) -> list[_Block]:
+    """The blocks that are the main text."""
+    if not found:
+        return []
+    faint = _faint(found)
+    fused = scores(found, faint)
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    chosen = [b for b in found if of_path[b.path] >= max(SPREAD * spread, 1e-9)] or found
+    picked = {id(b) for b, f in zip(found, fused) if f >= max(SPREAD * spread, 1e-9)} or {id(b) for b, f in zip(found, faint) if not f}
+    if not picked:
+        return []
     # the smallest element that holds all of the chosen text
-    inside: dict[_Element, int] = defaultdict(int)
-    for b in chosen:
-        e = b.element
-        while e:
-            inside[e] += len(b.text)
-            e = e.above
-    total = sum(len(b.text) for b in chosen)
-    paths = []
-    for e, n in inside.items():
-        depth, up = 0, e
-        while up:
-            depth, up = depth + 1, up.above
-        if n == total and (e.tag in CONTAINERS or not e.tag):
-            paths.append((depth, e))
-    around = max(paths, key=lambda x: x[0])[1]
+    inside = _sums([b for b in found if id(b) in picked], lambda b: 1)
+    around = next(b for b in found if id(b) in picked).element
+    while inside[around] < len(picked) or around.tag and around.tag not in CONTAINERS:
+        around = around.above
     e = around
     while e:  # an article or main element around it is the better bound
         if e.tag in ("article", "main"):
             around = e
             break
         e = e.above
-    picked = set(map(id, chosen))
-
-    def held(b: _Block) -> bool:
-        e = b.element
-        while e and e is not around:
-            e = e.above
-        return e is around and (b.linked < LINKED * len(b.text) or id(b) in picked)
 
-    return [b for b in found if held(b)]
+    held = _passed_down(found, lambda e: e is around)
+    return [b for b, f, h in zip(found, faint, held) if h and (id(b) in picked or not f and b.linked < LINKED * len(b.text))]
 
 
 def main_text(page: str) -> str:

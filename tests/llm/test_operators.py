@@ -457,6 +457,56 @@ def test_html_names_are_hints():
     assert html_text.main_text("<body><div class='content'><p hidden>x y</p></div></body>") == ""
 
 
+def test_html_without_any_name():
+    """Only the ratios tell what is content: no element has a telling tag, class or id."""
+    sentence = "This is a sentence of some length, with a comma; and more. "
+    links = "".join(f"<li><a href={k}>Section {k}</a>" for k in range(9))
+    body = f"<h1>Title</h1>{f'<p>{sentence * 5}</p>' * 6}<p>Short.</p>"
+    page = f"<body><div><ul>{links}</ul></div><div class=a><span>Call us 01234 5678</span></div><div class=b>{body}</div><div class=c>Made by some.site.example</div></body>"
+    want = ["Title", *[(sentence * 5).strip()] * 6, "Short."]
+    assert html_text.main_text(page).split("\n") == want
+    assert html_text.main_text(page.replace("<body>", "<body><form id=f>").replace("</body>", "</form></body>")).split("\n") == want
+    assert html_text.main_text(page.replace("class=b", "class=share-price").replace("<body>", "<body class=no-sidebar>")).split("\n") == want
+    assert html_text.main_text(page.replace("class=c", "class=footer")).split("\n") == want
+    noscript = page.replace("<p>Short.</p>", "<noscript>In here.</noscript><p>So <math><mi>x</mi></math>.</p>").replace("<div class=b>", "<article>").replace("</p></div>", "</p></article>")
+    assert html_text.main_text(noscript).split("\n") == [*want[:-1], "In here.", "So x."]
+
+
+def test_html_scores_by_brute_force(spark):
+    """The fused ratio of each path, from the definition."""
+    for r in table(spark, SF, "pages").limit(20).collect():
+        found = html_text.blocks(r.html)
+        faint = html_text._faint(found)
+
+        def path(b):
+            e, out = b.element, []
+            while e.above:
+                out.append((e.tag, e.path) if e.tag not in html_text.INLINE else None)
+                e = e.above
+            return tuple(x for x in out if x)
+
+        groups = defaultdict(list)
+        for i, b in enumerate(found):
+            groups[path(b)].append(i)
+        mean = lambda f: [sum(f(found[j]) for j in groups[path(b)]) / len(groups[path(b)]) for b in found]
+        text, points = mean(lambda b: len(b.text)), [x + 0.1 for x in mean(lambda b: len(html_text.MARKS.findall(b.text)))]
+        gauss = lambda d: np.exp(-d * d / 2)
+        smooth = lambda v, i: sum(gauss(i - j) * v[j] for j in range(len(v)) if abs(i - j) <= 2) / sum(gauss(i - j) for j in range(len(v)) if abs(i - j) <= 2)
+        link = [1 - sum(found[j].linked for j in groups[path(b)]) / sum(len(found[j].text) for j in groups[path(b)]) for b in found]
+        fused = [(text[i] * smooth(text, i) * points[i] * smooth(points, i)) ** 0.5 * max(0, link[i]) * (html_text.FAINT if faint[i] else 1) for i in range(len(found))]
+        want = [sum(fused[j] for j in groups[path(b)]) / len(groups[path(b)]) for b in found]
+        assert html_text.scores(found, faint) == pytest.approx(want)
+
+
+def test_html_of_broken_pages():
+    """Time grows with a page's length, whatever is broken in it."""
+    pages = ["<div>a" * 50_000, "<a " * 300_000, '<a "' * 200_000, "<!" * 300_000, "<div>" * 500 + "</p></b></i>" * 50_000, "<script/>" * 50_000, "<b><div>" + "<i>" * 400 + "</b>" * 50_000, "<a \"'>x" * 50_001, "<ul>" + "<li>a" * 50_000]
+    for page in pages:
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 30, page[:20]
+
+
 def test_html_odd_rows(spark):
     cases = [None, "", "plain &lt;text&gt;", "<p>", "<<<>>>", "<script>x</p>", "<div " * 2000, "<p>a" * 20_000, "</div></p>x", "<!-- open", "<p>x &#128520; &nbsp; y</p>", "<![CDATA[a<b]]>"]
     df = spark.createDataFrame([(i, None, c) for i, c in enumerate(cases)] + [(None, "u", "<p>q</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))

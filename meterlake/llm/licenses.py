@@ -10,14 +10,16 @@ its words on. The base phrases are found word by word beside that and always sta
 Scale: a map over whole texts; the automaton is a few thousand states, built in the driver from the templates. Memory is
 that of one text's words.
 
-Defined results: a null or empty text has no words and no labels; repeated rows get the same result; further columns are
-ignored.
+Defined results: a null or empty text has no words and no labels; rows without an id are scanned as any others; repeated
+rows get the same result; of equal matches the template's next place counts; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +33,48 @@ LONG, GAP, COVER = 4, 12, 0.6
 # The phrases that are always reported, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Notices by which licences are recognised.
+# Notices by which licences are recognised, and the paragraphs of the short ones' whole texts.
 TEMPLATES = {
     "mit": [
         "released under the MIT License",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
     ],
     "apache-2": [
         "Licensed under the Apache License, Version 2.0",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License",
     ],
     "gpl-3": [
         "This work is licensed under the GNU General Public License, version 3",
         "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     ],
     "gpl-2": ["under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"],
+    "agpl-3": ["under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "lgpl": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "epl-2": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ],
+    "cc0": ["has waived all copyright and related or neighboring rights to this work", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights"],
     "cc-by-nc": ["licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "licensed under CC BY-NC 4.0"],
     "cc-by-sa": ["licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "licensed under CC BY-SA 4.0"],
     "cc-by": ["licensed under a Creative Commons Attribution 4.0 International License"],
@@ -70,6 +96,7 @@ class Automaton:
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.longest[s]):
             self.ends[self.link[state]] |= self.ends[state]
         self.ends[0] = set()
+        self.by_run = [[(which, [p for _, p in places]) for which, places in groupby(sorted(e), key=itemgetter(0))] for e in self.ends]
 
     def _state(self, longest: int, link: int, following: dict[int, int]) -> int:
         self.next.append(following)
@@ -168,8 +195,10 @@ class Scanner:
         best = 0.0
         for end, length, state in self._matches(codes):
             end = int(end)
-            for which, place in self.automaton.ends[state]:
+            for which, places_there in self.automaton.by_run[state]:
                 c = chains.get(which)
+                # where a string occurs several times in a template, the next place after the chain
+                place = next((p for p in places_there if not c or p > c[2]), places_there[0])
                 if c and (end - length > c[1] + GAP or place <= c[2]):
                     close(which)
                     c = None

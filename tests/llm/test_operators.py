@@ -548,6 +548,28 @@ def test_quality_verdicts_follow_the_labels(spark):
     assert said[1, True] > 0.97 * (said[1, True] + said[1, False]) and said[0, False] > 0.9 * (said[0, True] + said[0, False])
 
 
+def test_forest_by_brute_force():
+    """Scores by walking each tree from its root, and path lengths from the definition."""
+    rng = np.random.default_rng(3)
+    rows = np.c_[rng.normal(size=(500, 3)), np.zeros(500)]
+    forest = quality_rules.Forest(rows, trees=20, subsample=64)
+    some = np.r_[rows[:50], [[9, 9, 9, 9], [0, 0, 0, 0]]]
+
+    def steps(tree, x):
+        feature, split, left, right, depth = tree
+        at = d = 0
+        while feature[at] >= 0:
+            at, d = (left if x[feature[at]] < split[at] else right)[at], d + 1
+        assert depth[at] >= d
+        return depth[at]
+
+    harmonic = lambda n: sum(1 / k for k in range(1, n + 1))
+    assert quality_rules._path(64) == pytest.approx(2 * harmonic(63) - 2 * 63 / 64, abs=0.02)
+    want = [2 ** (-sum(steps(t, x) for t in forest.trees) / 20 / quality_rules._path(64)) for x in some]
+    assert forest.score(some) == pytest.approx(want)
+    assert forest.score(some)[-2] > 0.6 > 0.55 > forest.score(some)[-1] and max(forest.score(some)) == forest.score(some)[-2]
+
+
 def test_quality_odd_rows(odd, nothing, spark):
     labels = spark.createDataFrame([(5, 1), (6, 1), (8, 0), (None, 1), (7, None)], "doc_id long, quality int")
     rows = quality_rules.verdicts(odd, labels).collect()
@@ -603,6 +625,47 @@ def test_changed_notices_are_still_found():
     assert not scanner.scan(b"of the and use in with the in or the of use and the")["spans"]
 
 
+def plain_spans(scanner, words):
+    """Chains of long matches by comparing every place of the text with every place of every template."""
+    out = []
+    for label, run in zip(scanner.labels, scanner.runs):
+        matches = set()
+        for i in range(len(words)):
+            for j in range(len(run)):
+                if words[i] == run[j] and (not i or not j or words[i - 1] != run[j - 1]):
+                    n = 0
+                    while i + n < len(words) and j + n < len(run) and words[i + n] == run[j + n]:
+                        n += 1
+                    if n >= licenses.LONG:
+                        matches.add((i + n, j + n, n))
+        covered = 0
+        for _, j, n in matches:
+            covered = max(covered, n / len(run))
+        out.append((label, covered))
+    return out
+
+
+def test_spans_of_whole_templates():
+    """Each template in other text is found with its label and its place; half a template isn't."""
+    scanner, rnd = licenses.Scanner(), random.Random(3)
+    for label, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            before = " ".join(f"w{rnd.randrange(99)}" for _ in range(rnd.randrange(30)))
+            n, own = len(before.split()), len(licenses.alphanumeric_words(t.encode()))
+            found = scanner.scan(f"{before} {t} -- and more".encode())["spans"]
+            assert (label, n, n + own, 1.0) in found, t
+            best = dict(plain_spans(scanner, scanner._coded(t)))
+            assert {s[0] for s in found} <= {k for k, c in best.items() if c > 0} | {label}
+            half = " ".join(t.split()[: len(t.split()) // 2])
+            assert label not in {s[0] for s in scanner.scan(half.encode())["spans"]} or own < 12
+
+
+def test_a_string_twice_in_a_template():
+    scanner = licenses.Scanner({"x": ["one two three four five one two three four six seven eight nine ten"]}, {})
+    (span,) = scanner.scan(b"one two three four five CHANGED one two three four six seven eight nine ten")["spans"]
+    assert span == ("x", 0, 15, 1.0)
+
+
 def test_licenses_odd_rows(odd, nothing):
     rows = licenses.scan(odd).collect()
     assert len(rows) == 13 and all(r.n_words == 0 and r.labels == "" and r.score == 0 for r in rows if r.doc_id in (0, 1, 2))

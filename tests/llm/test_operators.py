@@ -399,6 +399,48 @@ def test_mixing_bounds(spark):
     assert len(found) == 600
 
 
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_order_sample_by_brute_force(spark, monkeypatch, most):
+    """Each source's sample is the head of the order of random odds over inclusion odds, certain documents first."""
+    monkeypatch.setattr(mixing, "MOST_SOURCES", most)
+    rnd = random.Random(11)
+    rows = [(i, rnd.choice([1, 2, 3, 5, 8, 60, 400]), rnd.choice("abcd")) for i in range(400)]
+    frame = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in mixing.mix(frame).collect()}
+    hashed = {r.doc_id: r.h for r in frame.select("doc_id", F.xxhash64("doc_id", F.lit(mixing.SEED)).alias("h")).collect()}
+    certain = 0
+    for source in "abcd":
+        own = {i: n for i, n, s in rows if s == source}
+        total, target = sum(own.values()), next(found[i].target for i in own)
+        copies = int(target // total)
+        budget = target - copies * total
+        fits = {i: n for i, n in own.items() if n <= budget}
+        sure: set[int] = set()
+        while True:
+            rest = [n for i, n in fits.items() if i not in sure]
+            rate = (budget - sum(fits[i] for i in sure)) / sum(n * n for n in rest) if rest else 0
+            more = {i for i, n in fits.items() if i not in sure and rate * n >= 1}
+            if not more:
+                break
+            sure |= more
+        certain += len(sure)
+
+        def rank(i):
+            if i in sure:
+                return 0.0
+            u, p = (((hashed[i] % (1 << 64)) >> 11) + 0.5) / (1 << 53), rate * fits[i]
+            return u / (1 - u) * (1 - p) / p
+
+        order, upto, head = sorted(fits, key=lambda i: (rank(i), i)), 0, set()
+        for i in order:
+            if upto + fits[i] <= budget or upto < budget and upto + fits[i] - budget < budget - upto:
+                head.add(i)
+            upto += fits[i]
+        for i, n in own.items():
+            assert found[i].taken == n * (copies + (i in head)), (source, i)
+    assert certain > 0
+
+
 def test_mixing_odd_rows(odd, nothing):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 13 and all(r.taken <= 3 * r.size for r in rows)

@@ -25,8 +25,9 @@ def new_files(files: DataFrame, store: DataFrame, order: str) -> DataFrame:
 
 
 def conflicts(files: DataFrame, store: DataFrame) -> DataFrame:
-    """Files that the store has, with the id of the stored bill."""
-    return files.join(store.select("file_hash", F.col("id").alias("existing_id")), "file_hash")
+    """Files that the store has, with the least id of the stored bills: one row per file, however many copies are stored."""
+    first = store.filter(F.col("file_hash").isNotNull()).groupBy("file_hash").agg(F.min("id").alias("existing_id"))
+    return files.join(first, "file_hash")
 
 
 def possible_duplicates(bills: DataFrame) -> DataFrame:

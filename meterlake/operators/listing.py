@@ -34,6 +34,7 @@ def matching(bills: DataFrame, status: str | None = None, account_number: str |
 
 
 def total(bills: DataFrame, **filters: str | None) -> DataFrame:
+    check_request(1, 0, **{k: filters.get(k) for k in ("status", "account_number", "search")})
     return matching(bills, **filters).agg(F.count(F.lit(1)).alias("total"))
 
 

@@ -131,7 +131,7 @@ def field_source_counts(spark, sf_dir):
     return found.filter(F.col("field").isin("units_consumed", "current_reading")).groupBy("field", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN '0,1,2' ELSE '0,-1,1' END AS places FROM orders")
 def align_columns(spark, sf_dir):
     """Values that drift under their headers, with an empty column."""
     k = F.col("o_orderkey")

@@ -20,7 +20,8 @@ under 41 % no prefix is short enough, and such a limit is an error.
 
 Scale: one shuffle of the texts (to bring those with candidates to their candidates), none of all pairs; the driver gets
 counts only; every step is written to the shared folder. What a task holds is bounded: the orders are cut into ranges of
-``ROWS_A_RANGE`` rows, the confirmation into ranges of ``SHINGLES_A_RANGE`` shingles or so, whatever the number of rows.
+``ROWS_A_RANGE`` rows, the confirmation into ranges of ``SHINGLES_A_RANGE`` shingles or so, or ten times these where that
+would make more than ``MOST_RANGES`` of them.
 
 Defined results: words are split at the six ASCII characters of white space after lowering A-Z; a text with fewer words
 than a shingle has the whole sequence as its only shingle; a null or empty text, or one without words, has no shingles and
@@ -35,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_groups, stage, with_ids
@@ -46,7 +47,8 @@ TREES, DEPTH, MOST_LEAST_DEPTH, RUN, BLOCK = 20, 8, 4, 12, 128
 MISSED = 3e-5  # at most, of pairs at the limit: those with no common prefix in any tree
 SIGNATURE = TREES * DEPTH
 BATCH_ROWS = 256  # texts or sets that a worker gets at a time
-ROWS_A_RANGE, SHINGLES_A_RANGE = 500_000, 4_000_000  # of a tree's order, and of the sets that a task compares
+ROWS_A_RANGE, SHINGLES_A_RANGE = 100_000, 1_000_000  # of a tree's order, and of the sets that a task compares
+MOST_RANGES = 100_000  # from here on ranges grow, up to ten times, before there are more of them
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(1)
@@ -273,6 +275,10 @@ def _far_links(rows: DataFrame, regions: DataFrame, sets: DataFrame, percent: in
     return both.groupBy("region", "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long")
 
 
+def _ranges(spark: SparkSession, total: int, size: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, min(total // size, max(MOST_RANGES, total // (10 * size))) + 1)
+
+
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (the least id of the group) and ``kept`` for every row of ``docs``."""
     spark = docs.sparkSession
@@ -283,8 +289,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id
     classes = stage(classes.select("digest", "copies", F.col("first.doc_id").alias("rep"), F.col("first.signature").alias("signature")), "classes")
 
     forest = classes.select("rep", "signature").mapInArrow(_trees, "tree int, key binary, rep long")
-    ranges = max(spark.sparkContext.defaultParallelism, classes.count() * TREES // ROWS_A_RANGE + 1)
-    forest = forest.repartitionByRange(ranges, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
+    forest = forest.repartitionByRange(_ranges(spark, classes.count() * TREES, ROWS_A_RANGE), "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
     found = stage(forest.mapInArrow(_neighbours(least_depth(percent)), "a long, b long, region binary"), "neighbours")
     pairs = stage(found.filter("b is not null").select("a", "b").distinct(), "pairs")
     again = found.filter("b is null").select("region", F.col("a").alias("rep"))
@@ -304,7 +309,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("binary").alias("text"))
     sets = texts.join(needed.hint("merge"), "rep").select("group", "rep", "near", "text").mapInArrow(to_sets, "group long, rep long, near array<long>, n long, words binary")
     sets = stage(sets, "sets", BATCH_ROWS)
-    ranges = max(spark.sparkContext.defaultParallelism, (sets.agg(F.sum("n")).first()[0] or 0) // SHINGLES_A_RANGE + 1)
+    ranges = _ranges(spark, sets.agg(F.sum("n")).first()[0] or 0, SHINGLES_A_RANGE)
     tested = sets.select("group", "rep", "near", "words").repartitionByRange(ranges, "group", "rep").sortWithinPartitions("group", "rep").mapInArrow(_confirm_near(percent), "a long, b long, linked boolean")
     tested = stage(tested, "tested", BATCH_ROWS)
     links, split = tested.filter("linked").select("a", "b"), tested.filter("not linked").select("a", "b")

@@ -7,6 +7,9 @@ as 0 where the columns are absent), as the tolerance depends on them.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,8 +105,12 @@ def validate(bills: DataFrame, settings: Settings = Settings(), as_of: Column |
     bad_period = F.coalesce(end < start, F.lit(False))
     today = as_of if as_of is not None else F.current_date()
 
-    def listed(*items: Column) -> Column:
-        return F.filter(F.array(*items), lambda x: x.isNotNull())
+    def listed(rules: list[tuple[Column, Column | str]]) -> Column:
+        return F.filter(F.array(*[F.when(when, message) for when, message in rules]), lambda x: x.isNotNull())
+
+    def broken(rules: list[tuple[Column, Column | str]]) -> Column:
+        """Whether some rule is broken: from the flags alone, so a query that only asks for the status makes no message."""
+        return reduce(or_, [F.coalesce(when, F.lit(False)) for when, _ in rules])
 
     scale = {"previous_reading": "previous_scale", "current_reading": "current_scale"}
     negative = {f: F.coalesce(F.col(f) < 0, F.lit(False)) for f in NUMERIC}
@@ -111,28 +118,28 @@ def validate(bills: DataFrame, settings: Settings = Settings(), as_of: Column |
     reversed_text = F.concat(F.lit("Current reading ("), _printed("current_reading", "current_scale"), F.lit(") is lower than previous reading ("), _printed("previous_reading", "previous_scale"), F.lit(")"))
     period_text = F.lit("Billing period end date is before its start date")
     nothing = F.size("missing_fields") == len(REQUIRED)
-    errors = listed(
-        *[F.when(negative[f], negative_text[f]) for f in NUMERIC],
-        F.when(F.col("_reversed"), reversed_text),
-        F.when(bad_period, period_text),
-        F.when(nothing, "No bill fields could be extracted from the document."),
-    )
-    warnings = listed(
-        *[F.when(is_missing(f), f"{LABELS[f]} could not be confidently extracted") for f in REQUIRED],
-        F.when(~both & units.isNotNull(), "Meter readings incomplete; units consumed could not be cross-checked"),
-        F.when(both & ~F.col("_reversed") & F.col("_derived") & F.col("multiplying_factor").isNull(), "Units consumed was calculated without a multiplying factor (none found on the bill); please verify"),
-        F.when(mismatch, F.concat(F.lit("Meter readings do not reconcile with reported units: "), F.col("calculation"), F.lit(", but the bill reports "), text(units.cast(DECIMAL)), F.lit(" (difference "), text(F.col("difference")), F.lit(")"))),
-        F.when(due < end, "Due date is before the end of the billing period"),
-        F.when(F.year(due) > F.year(today) + 1, "Due date is unusually far in the future; please verify"),
-        F.when(F.col("ocr_confidence") < settings.low_confidence, F.concat(F.lit("Low OCR confidence ("), F.bround(F.col("ocr_confidence"), 0).cast("int").cast("string"), F.lit("%). Please verify the extracted values."))),
-    )
+    errors = [
+        *[(negative[f], negative_text[f]) for f in NUMERIC],
+        (F.col("_reversed"), reversed_text),
+        (bad_period, period_text),
+        (nothing, "No bill fields could be extracted from the document."),
+    ]
+    warnings = [
+        *[(is_missing(f), f"{LABELS[f]} could not be confidently extracted") for f in REQUIRED],
+        (~both & units.isNotNull(), "Meter readings incomplete; units consumed could not be cross-checked"),
+        (both & ~F.col("_reversed") & F.col("_derived") & F.col("multiplying_factor").isNull(), "Units consumed was calculated without a multiplying factor (none found on the bill); please verify"),
+        (mismatch, F.concat(F.lit("Meter readings do not reconcile with reported units: "), F.col("calculation"), F.lit(", but the bill reports "), text(units.cast(DECIMAL)), F.lit(" (difference "), text(F.col("difference")), F.lit(")"))),
+        (due < end, "Due date is before the end of the billing period"),
+        (F.year(due) > F.year(today) + 1, "Due date is unusually far in the future; please verify"),
+        (F.col("ocr_confidence") < settings.low_confidence, F.concat(F.lit("Low OCR confidence ("), F.bround(F.col("ocr_confidence"), 0).cast("int").cast("string"), F.lit("%). Please verify the extracted values."))),
+    ]
     notes = F.concat(
         F.col("notes"),
-        listed(
-            F.when(both & ~F.col("_reversed") & F.col("_derived"), F.concat(F.lit("Units consumed is not printed on the bill; calculated from the meter readings: "), F.col("calculation"))),
-            F.when(agrees & (F.col("_factor") != 1), F.concat(F.lit("Units include the meter multiplying factor "), text(F.col("_factor")))),
-            F.when(agrees & F.col("_open"), F.concat(text(F.col("open_access_units").cast(DECIMAL)), F.lit(" open-access units are excluded from billed consumption"))),
-        ),
+        listed([
+            (both & ~F.col("_reversed") & F.col("_derived"), F.concat(F.lit("Units consumed is not printed on the bill; calculated from the meter readings: "), F.col("calculation"))),
+            (agrees & (F.col("_factor") != 1), F.concat(F.lit("Units include the meter multiplying factor "), text(F.col("_factor")))),
+            (agrees & F.col("_open"), F.concat(text(F.col("open_access_units").cast(DECIMAL)), F.lit(" open-access units are excluded from billed consumption"))),
+        ]),
     )
 
     def check(f: str) -> Column:
@@ -146,6 +153,6 @@ def validate(bills: DataFrame, settings: Settings = Settings(), as_of: Column |
             status, message = F.when(when, s).otherwise(status), F.when(when, m).otherwise(message)
         return F.struct(F.lit(f).alias("field"), status.alias("status"), message.alias("message"))
 
-    df = df.withColumns({"errors": errors, "warnings": warnings, "notes": notes, "field_checks": F.array(*map(check, REQUIRED))})
-    status = F.when(F.size("errors") > 0, "INVALID").when(F.size("warnings") > 0, "WARNING").otherwise("VALID")
-    return df.withColumn("validation_status", status).drop("_reversed", "_derived", "_open", "_factor")
+    status = F.when(broken(errors), "INVALID").when(broken(warnings), "WARNING").otherwise("VALID")
+    df = df.withColumns({"validation_status": status, "errors": listed(errors), "warnings": listed(warnings), "notes": notes, "field_checks": F.array(*map(check, REQUIRED))})
+    return df.drop("_reversed", "_derived", "_open", "_factor")

@@ -44,6 +44,19 @@ def page(bills: DataFrame, limit: int = 20, offset: int = 0, **filters: str | No
     return matching(bills, **filters).select(*SUMMARY).orderBy(F.col("created_at").desc(), F.col("id").desc()).offset(offset).limit(limit)
 
 
+def pager(rows: DataFrame, total: str = "total", offset: str = "offset", size: int = 10) -> DataFrame:
+    """What a pager shows for a total and an offset: ``first`` and ``last`` row, whether there is a page before and after.
+
+    An offset behind the last row (it was deleted) is a page too far: the pager steps back to the last page with rows.
+    """
+    n, at = F.col(total), F.col(offset)
+    back = F.ceil((at - n + 1) / F.lit(size)).cast("long") * size
+    start = F.when(at >= n, F.greatest(F.lit(0), at - back)).otherwise(at)
+    shown = rows.withColumn("_start", start.cast("long"))
+    last = F.least(F.col("_start") + size, n)
+    return shown.withColumns({"first": F.when(n > 0, F.col("_start") + 1), "last": last, "has_previous": F.col("_start") > 0, "has_next": last < n}).drop("_start")
+
+
 def by_id(bills: DataFrame, bill_id: int) -> DataFrame:
     return bills.filter(F.col("id") == bill_id)
 

@@ -23,6 +23,23 @@ def files(spark: SparkSession, folder: str, largest: int, pattern: str = "*.{pdf
     return found.filter(F.col("length") <= largest)
 
 
+def listed(found: DataFrame) -> DataFrame:
+    """Paths of files in their order, without their content."""
+    return found.select("path", "length").orderBy("path")
+
+
+def stored_files(bills: DataFrame, found: DataFrame, name: str = "stored_filename") -> DataFrame:
+    """Bills with the ``path`` of their file and a ``file_status``: stored, missing (no such file any more), or refused (a
+    name that would lead out of the folder). ``found`` has the paths of the folder's files; of equal names the first path counts.
+
+    The join is by name, which is unique among bills and files: no hot key. Null names are refused.
+    """
+    own = found.withColumn("_name", F.element_at(F.split("path", "/"), -1)).groupBy("_name").agg(F.min("path").alias("path"))
+    safe = F.coalesce(~F.col(name).rlike(r"[/\\\x00]") & ~F.col(name).isin("", ".", ".."), F.lit(False))
+    rows = bills.withColumn("_name", F.when(safe, F.col(name))).join(own, "_name", "left")
+    return rows.withColumn("file_status", F.when(F.col("_name").isNull(), "refused").when(F.col("path").isNull(), "missing").otherwise("stored")).drop("_name")
+
+
 def stem(path: str) -> F.Column:
     """A path's last part without its suffixes: what a document and its known values have in common."""
     return F.regexp_extract(F.col(path), r"([^/\\.]+)(?:\.[^/\\]*)?$", 1)

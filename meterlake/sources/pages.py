@@ -18,17 +18,29 @@ from ..schemas import WORDS
 
 Reader = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 _READERS: dict[str, Reader] = {}
+_LANGUAGES: dict[str, frozenset[str] | None] = {}
 
 
-def register(kind: str, reader: Reader) -> None:
-    """``kind`` is pdf (words of the text layer) or ocr (words of scanned pages, with their confidence)."""
+def register(kind: str, reader: Reader, languages: set[str] | None = None) -> None:
+    """``kind`` is pdf (words of the text layer) or ocr (words of scanned pages, with their confidence). ``languages``: those
+    that the reader has data for, if it can tell."""
     _READERS[kind] = reader
+    _LANGUAGES[kind] = frozenset(languages) if languages is not None else None
 
 
-def words(files: DataFrame, kind: str) -> DataFrame:
-    """Words of files (doc_id, file_type, content), batch by batch."""
+def require(kind: str, settings: Settings = Settings()) -> None:
+    """Raises before any job starts if no reader is there, or one without data for a language that is set (as eng+hin)."""
     if kind not in _READERS:
         raise NotImplementedError(f"no reader for {kind} is registered: reading such files needs a library that is not part of this package")
+    known = _LANGUAGES[kind]
+    missing = [x for x in settings.ocr_language.split("+") if kind == "ocr" and known and x not in known]
+    if missing:
+        raise RuntimeError(f"the reader has no data for: {', '.join(missing)}; it has: {', '.join(sorted(known))}")
+
+
+def words(files: DataFrame, kind: str, settings: Settings = Settings()) -> DataFrame:
+    """Words of files (doc_id, file_type, content), batch by batch."""
+    require(kind, settings)
     return files.select("doc_id", "file_type", "content").mapInPandas(_READERS[kind], WORDS)
 
 

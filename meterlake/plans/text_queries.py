@@ -147,7 +147,7 @@ def align_columns(spark, sf_dir):
 def provider_detect(spark, sf_dir):
     marks = ("Assam  Power Distribution", "Jaipur Vidyut Vitran Nigam", "GESCOM\nR.R. No 12", "BESCOM without a number", "")
     mark = F.element_at(F.array(*map(F.lit, marks)), (F.col("doc_id") % 5 + 1).cast("int"))
-    return read(spark, sf_dir, "documents").select("doc_id", providers.detect(F.concat("text", F.lit("\n"), mark)).alias("provider"))
+    return read(spark, sf_dir, "documents").select("doc_id", providers.detect(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), mark)).alias("provider"))
 
 
 REGISTERS_SQL = """SELECT l_orderkey AS doc_id, CASE WHEN l_orderkey % 9 = 0 AND bool_or(l_linenumber = 1) THEN NULL ELSE CAST(sum(l_partkey) AS DOUBLE) END AS previous_reading,

@@ -114,6 +114,19 @@ def test_providers(spark):
     assert (three.account_number, three.due_date, three.net_amount_due) == ("HT 15", datetime.date(2024, 1, 16), 500) and len(three.notes) == 2
 
 
+def test_provider_marks_end_at_ascii_words(spark):
+    texts = ["Rr noñgagaó\nBESCOM", "R.R. No 7 BESCOM", "R.R. Note BESCOM", "R.R. No_ BESCOM", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", providers.detect(F.col("t")).alias("p")).orderBy("i")
+    assert [r.p for r in df.collect()] == ["karnataka_escom", "karnataka_escom", "generic", "generic", "generic"]
+
+
+def test_providers_of_documents_without_text(spark, tmp_path):
+    from meterlake.plans import QUERIES
+
+    spark.createDataFrame([(5, None), (8, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.provider for r in QUERIES["provider_detect"](spark, str(tmp_path)).collect()} == {5: "apdcl", 8: "generic"}
+
+
 def test_layout_does_not_depend_on_the_order_of_words(spark):
     words = [("Due", 0.0, 0.0, 15.0, 10.0), ("Date", 20.0, 1.0, 40.0, 11.0), ("5", 200.0, 0.4, 205.0, 10.4), ("Units", 0.0, 30.0, 25.0, 40.0), (" ", 1.0, 1.0, 2.0, 2.0)]
     for order in (words, words[::-1]):

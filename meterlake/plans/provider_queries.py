@@ -53,7 +53,7 @@ METER = ("previous_reading", "current_reading", "units_consumed", "multiplying_f
 @query(RAJASTHAN_SQL)
 def rajasthan_columns(spark, sf_dir):
     """Values below headers, the meter's row, and open access that counts only beside such a row."""
-    found = providers.rajasthan(extract.to_lines(_rajasthan(_orders(spark, sf_dir))))
+    found = providers.rajasthan(_rajasthan(_orders(spark, sf_dir)))
     return found.select("doc_id", "account_number", "consumer_name", F.col("period.display").alias("billing_period"), F.col("due_date").cast("string").alias("due_date"), *double(*METER, "open_access_units"))
 
 
@@ -64,7 +64,7 @@ def rajasthan_columns(spark, sf_dir):
 )
 def karnataka_main_meter(spark, sf_dir):
     """The main meter's row, whose columns are in the order of its headers; a misread number; either amount."""
-    found = providers.karnataka(extract.to_lines(_karnataka(_orders(spark, sf_dir))))
+    found = providers.karnataka(_karnataka(_orders(spark, sf_dir)))
     return found.select("doc_id", "account_number", "consumer_name", F.col("period.display").alias("billing_period"), "day", F.col("month").cast("int").alias("month"), *double(*METER, "net_amount_due"))
 
 
@@ -80,7 +80,7 @@ def whole_parse(spark, sf_dir):
     orders = _orders(spark, sf_dir)
     plain = F.concat(F.lit("Consumer No.: "), F.lpad(_text(F.col("k")), 10, "0"), F.lit("\nCurrent Reading: "), _text(1000 + F.col("o_custkey") + F.col("used")), F.lit("\nDue Date: "), F.date_format(F.date_add("o_orderdate", 20), "dd-MM-yyyy"))
     docs = _rajasthan(orders.filter(F.col("k") % 3 == 0)).unionByName(_karnataka(orders.filter(F.col("k") % 3 == 1))).unionByName(orders.filter(F.col("k") % 3 == 2).select(F.col("k").alias("doc_id"), plain.alias("text")))
-    out = providers.override(extract.extract(docs), docs)
+    out = providers.parse(docs)
     return out.select("doc_id", "parser_name", "account_number", *double("current_reading"), F.col("due_date").cast("string").alias("due_date"), F.size("notes").alias("n_notes"))
 
 

@@ -156,7 +156,7 @@ REGISTERS_SQL = """SELECT l_orderkey AS doc_id, CASE WHEN l_orderkey % 9 = 0 AND
 
 
 def _registers(spark, sf_dir):
-    return providers.apdcl(extract.to_lines(synth.time_of_day(read(spark, sf_dir, "lineitem"))))
+    return providers.apdcl(synth.time_of_day(read(spark, sf_dir, "lineitem")))
 
 
 @query(f"{REGISTERS_SQL} FROM lineitem GROUP BY l_orderkey")

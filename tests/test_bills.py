@@ -127,6 +127,30 @@ def test_providers_of_documents_without_text(spark, tmp_path):
     assert {r.doc_id: r.provider for r in QUERIES["provider_detect"](spark, str(tmp_path)).collect()} == {5: "apdcl", 8: "generic"}
 
 
+@pytest.mark.parametrize(("name", "most"), [("karnataka_main_meter", 0), ("text_roundtrip", 2), ("whole_parse", 0)])
+def test_documents_are_read_without_a_shuffle(spark, name, most):
+    """What is left are the exchanges of the tables that the texts are made of, and of groups."""
+    from meterlake.plans import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= most
+
+
+def test_documents_that_share_an_id_keep_their_own_values(spark):
+    docs = spark.createDataFrame([(1, "Consumer No.: 00712233\nDue Date: 15-12-2023"), (1, "GESCOM\nR.R. No: HT 1S"), (None, "Account No.: 00712244")], "doc_id long, text string")
+    found = {(r.doc_id, r.account_number, str(r.due_date)) for r in extract.extract(docs).collect()}
+    assert found == {(1, "00712233", "2023-12-15"), (1, None, "None"), (None, "00712244", "None")}
+    assert sorted(str(r.account_number) for r in providers.parse(docs).collect()) == ["00712233", "00712244", "HT 15"]
+
+
+def test_lines_that_differ_in_digits_only_are_told_apart(spark):
+    head = "Account No.   Units   Due Date\n"
+    rows = [head + f"{k:08d}      {k}   {k % 28 + 1:02d}-01-2023" for k in range(4321, 4421)] + [head + "00004321      " + "9" * 400]
+    found = {r.doc_id: r for r in extract.extract(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all((found[i].account_number, found[i].units_consumed, found[i].due_date.day) == (f"{k:08d}", k, k % 28 + 1) for i, k in enumerate(range(4321, 4421)))
+    assert found[100].units_consumed is None
+
+
 def test_layout_does_not_depend_on_the_order_of_words(spark):
     words = [("Due", 0.0, 0.0, 15.0, 10.0), ("Date", 20.0, 1.0, 40.0, 11.0), ("5", 200.0, 0.4, 205.0, 10.4), ("Units", 0.0, 30.0, 25.0, 40.0), (" ", 1.0, 1.0, 2.0, 2.0)]
     for order in (words, words[::-1]):

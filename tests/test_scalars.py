@@ -70,6 +70,29 @@ def test_values_that_were_cut_are_never_guessed(spark, kind):
     table(spark, f, [("", None), ("   ", None), ("-", None), ("?", None), ("::", None)])
 
 
+ODD = [
+    "", " ", None, "7,412", "4O81", "5S00", "9,8,7", "44.", "-17", "+.5", "1234567890123456", "99999999999999.9999999", "Rs. 812.50", "₹3,100", "= Rs. 5", "9.125", "R 4,18,020.00", "-40", "INR - 5", "12345678901.5", "2023-11-05", "05/11/23", "5th Nov, 2023",
+    "November 5, 2023", "O5-1l-2023", "31-02-2023 or 01-03-2023", "05-11-1980", "05-11-2023 to 04-12-2023", "5 Nov 2023 - 4 Dec 2023", "NOV-2023", "13/2023", "202311", "11/0099", "1200 3400 56", "ht/x/552190", "12B45", "abc", "asha rani", "M/S Hill Mills Ltd.", "Mob No 5", "Tariff Category",
+    "Name of", "EHTS", "lt 4S1", "ab 77", "?", "a\u2003b 12", "x\u00857", "\u0663\u0664", "a — b  \r\n\n\n\nc\td|", "ﬁne \u200b\n\n", "Ärger & Söhne",
+]
+
+
+def test_plain_parsers_agree_with_the_column_functions(spark):
+    from meterlake.functions import plain
+
+    period = lambda p: p and (p["display"], p["start"], p["end"])
+    number = lambda n: n and (n["value"], n["scale"])
+    same = lambda x: x
+    pairs = [
+        (numbers.parse_number, plain.parse_number, number), (numbers.parse_amount, plain.parse_amount, same), (dates.parse_date, plain.parse_date, same), (dates.parse_billing_period, plain.parse_billing_period, period), (ids.parse_account_number, plain.parse_account_number, same),
+        (ids.parse_name, plain.parse_name, same), (ids.parse_unlabelled_name, plain.parse_unlabelled_name, same), (ids.parse_rr_number, plain.parse_rr_number, same), (text.normalize_text, plain.normalize_text, same), (core.cells, plain.cells, lambda c: c and [tuple(x) for x in c]),
+    ]
+    rows = spark.createDataFrame(list(enumerate(ODD)), "i int, v string").select("i", *[f(F.col("v")).alias(str(k)) for k, (f, _, _) in enumerate(pairs)]).orderBy("i").collect()
+    for k, (f, twin, read) in enumerate(pairs):
+        cases = [(v, read(r[str(k)])) for v, r in zip(ODD, rows) if v is not None or f is not core.cells]
+        assert [(v, twin(v)) for v, _ in cases] == cases
+
+
 def test_display(spark):
     grouped = lambda v: display.indian_grouping(v.cast("decimal(20,6)"))
     table(spark, grouped, [("1234567.5", "12,34,567.5"), ("999", "999"), ("1000", "1,000"), ("-100000.125", "-1,00,000.125"), (None, None)])

@@ -127,7 +127,7 @@ def text_to_status(spark, sf_dir):
         {{'field': 'current_reading', 'source': CASE id % 3 WHEN 0 THEN 'key_value:Current Reading' WHEN 1 THEN 'table:Current Reading' ELSE 'table:Present' END}}], recursive := true) FROM bills) WHERE source IS NOT NULL GROUP BY ALL"""
 )
 def field_source_counts(spark, sf_dir):
-    found = extract.extract(synth.render(from_orders(spark, sf_dir))).select(F.explode("sources").alias("field", "source"))
+    found = extract.extract(synth.render(from_orders(spark, sf_dir, for_texts=True))).select(F.explode("sources").alias("field", "source"))
     return found.filter(F.col("field").isin("units_consumed", "current_reading")).groupBy("field", "source").agg(F.count(F.lit(1)).alias("n"))
 
 

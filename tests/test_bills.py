@@ -1,6 +1,7 @@
 import datetime
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,27 @@ def test_documents_are_read_without_a_shuffle(spark, name, most):
     assert plan.count("Exchange") <= most
 
 
+@pytest.fixture(scope="module")
+def one_row_group(tmp_path_factory):
+    """Tables whose orders are in one row group, which only one task of a scan can read."""
+    import pyarrow.parquet as pq
+
+    out = tmp_path_factory.mktemp("large")
+    for name, n in (("orders", 3), ("customer", 1)):
+        table = pq.read_table(f"/root/testdata/sf0.01/{name}.parquet")
+        pq.write_table(pa.concat_tables([table] * n).combine_chunks(), out / f"{name}.parquet")
+    return str(out)
+
+
+@pytest.mark.parametrize("name", ["field_source_counts"])
+def test_orders_of_one_row_group_are_read_by_several_tasks(spark, one_row_group, name):
+    from meterlake.plans import QUERIES
+
+    plan = QUERIES[name](spark, one_row_group)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan.split("MapInArrow")[-1]
+    assert "REPARTITION_BY_NUM" not in QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_documents_that_share_an_id_keep_their_own_values(spark):
     docs = spark.createDataFrame([(1, "Consumer No.: 00712233\nDue Date: 15-12-2023"), (1, "GESCOM\nR.R. No: HT 1S"), (None, "Account No.: 00712244")], "doc_id long, text string")
     found = {(r.doc_id, r.account_number, str(r.due_date)) for r in extract.extract(docs).collect()}

@@ -173,6 +173,20 @@ def test_lines_that_differ_in_digits_only_are_told_apart(spark):
     assert found[100].units_consumed is None
 
 
+def test_lines_that_look_alike_are_searched_once(monkeypatch):
+    """Where registers, meters' rows and account numbers stand is kept; only the values are read anew."""
+    registers = lambda k: providers.read_apdcl(extract.to_lines(f"KWH(Day)  Q1  1.000  {k}.000  0  {k + 60}.000  0  60.000\nOpen Access Units Day  4.000\nUnit Consumed\nDay | {k}.000"))
+    row = lambda k: providers.read_rajasthan(extract.to_lines(f"K No. : 0000000{k}\nQ1 KWH  {k + 60}  {k}  60  2  120"))
+    registers(100), row(100)
+    searched, compiled = [], providers.compiled
+    monkeypatch.setattr(providers, "compiled", lambda pattern: searched.append(pattern) or compiled(pattern))
+    for k in range(101, 200):
+        one, two = registers(k), row(k)
+        assert (one["previous_reading"], one["current_reading"], one["units_consumed"], one["open_access_units"]) == (k, k + 60, k, 4)
+        assert (two["account_number"], two["previous_reading"], two["current_reading"], two["units_consumed"]) == (f"0000000{k}", k, k + 60, 120)
+    assert not searched
+
+
 def test_layout_does_not_depend_on_the_order_of_words(spark):
     words = [("Due", 0.0, 0.0, 15.0, 10.0), ("Date", 20.0, 1.0, 40.0, 11.0), ("5", 200.0, 0.4, 205.0, 10.4), ("Units", 0.0, 30.0, 25.0, 40.0), (" ", 1.0, 1.0, 2.0, 2.0)]
     for order in (words, words[::-1]):
